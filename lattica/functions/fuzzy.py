@@ -178,9 +178,17 @@ class Engine:
             raise ValueError(f"not the output: {rule}")
         return reduce(S_NORMS[self.s_norm], ors) * weight, tail[2]
 
-    def process(self, values: dict[str, Column], n: int = 100) -> Column:
-        """The output by centre of gravity; the default where no rule fires."""
+    def levels(self, values: dict[str, Column]) -> list[Column]:
+        """How far each rule holds: to be made columns before the output is taken, so that they are computed once."""
+        return [self.firing(r, values)[0] for r in self.rules]
+
+    def conclude(self, levels: list[Column], n: int = 100) -> Column:
+        """The output by centre of gravity, from the rules' levels; the default where no rule fires."""
         _, terms, low, high = self.output
-        cut = [thresholded(terms[t], level, T_NORMS[self.activation]) for level, t in (self.firing(r, values) for r in self.rules)]
+        spoken = [r.split()[r.split().index("then") + 3] for r in self.rules]
+        cut = [thresholded(terms[t], level, T_NORMS[self.activation]) for t, level in zip(spoken, levels, strict=True)]
         out = centroid(accumulated(cut, S_NORMS[self.accumulation]), low, high, n)
         return out if self.default is None else F.coalesce(out, F.lit(self.default))
+
+    def process(self, values: dict[str, Column], n: int = 100) -> Column:
+        return self.conclude(self.levels(values), n)

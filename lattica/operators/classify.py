@@ -38,19 +38,36 @@ def row_normalized(sim: DataFrame) -> DataFrame:
     return sim.withColumn("d", d).select("i", "j", F.when(F.col("d") < 1e-4, 0.0).otherwise(F.col("s") / F.col("d")).alias("s"))
 
 
-def nearest(train: DataFrame, test: DataFrame, k: int = 1, *, leave_one_out: bool = False) -> DataFrame:
+def nearest(train: DataFrame, test: DataFrame, k: int = 1, *, leave_one_out: bool = False, block: int = 1024) -> DataFrame:
     """(id, label, rank, other, other_label, d): the k nearest rows of train for each of test; ties go to smaller ids.
 
-    Samples are (id, x, label). One side is met by all of the other: with many of both, search top-k in blocks instead.
+    Samples are (id, x, label) with x of one length. Both sides are dealt into blocks of about `block` rows; each pair of
+    blocks is one task's work, of which only the k best rows for each test row leave, so no pair of samples is a row.
     """
-    a, b = test.select("id", F.col("x").alias("xa"), "label"), train.select(F.col("id").alias("other"), F.col("x").alias("xb"), F.col("label").alias("other_label"))
-    p = a.join(b, F.col("id") != F.col("other")) if leave_one_out else a.crossJoin(b)
-    p = p.select("id", "label", "other", "other_label", squared_distance(F.col("xa"), F.col("xb")).alias("d2"))
-    if k == 1:
-        best = p.groupBy("id").agg(F.first("label").alias("label"), F.min(F.struct("d2", "other", "other_label")).alias("m"))
-        return best.select("id", "label", F.lit(1).alias("rank"), "m.other", "m.other_label", F.sqrt("m.d2").alias("d"))
+    parts = lambda df: max(1, -(-df.count() // block))
+    n, m = parts(test), parts(train)
+    one = test.select("id", "x", "label").withColumn("p", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    two = train.select("id", "x", "label").toDF("id", "x", "label").withColumn("q", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = ["id", "label", "other", "other_label", "d2"]
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: np.zeros(0, float if c == "d2" else np.int64) for c in names})
+        b = b.sort_values("id", kind="stable")
+        y, ids, labels, out = np.stack(b["x"].to_numpy()).astype(float), b["id"].to_numpy(), b["label"].to_numpy(), []
+        for i, x, label in zip(a["id"], a["x"], a["label"], strict=True):
+            d2 = ((y - np.asarray(x, float)) ** 2).sum(axis=1)
+            if leave_one_out:
+                d2[ids == i] = np.inf
+            top = np.argpartition(d2, k)[:k] if k < len(d2) else np.arange(len(d2))
+            top = np.flatnonzero(d2 <= d2[top].max())  # rows as near as the kth, of which the smaller ids count
+            top = top[np.argsort(d2[top], kind="stable")][:k]
+            out += [(i, label, ids[t], labels[t], d2[t]) for t in top if np.isfinite(d2[t])]
+        return pd.DataFrame(out, columns=names)
+
+    found = one.groupBy("p", "q").cogroup(two.groupBy("p", "q")).applyInPandas(search, "id long, label int, other long, other_label int, d2 double")
     w = Window.partitionBy("id").orderBy("d2", "other")
-    return p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "label", "rank", "other", "other_label", F.sqrt("d2").alias("d"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "label", "rank", "other", "other_label", F.sqrt("d2").alias("d"))
 
 
 def knn_predict(train: DataFrame, test: DataFrame, k: int = 1, *, leave_one_out: bool = False) -> DataFrame:
@@ -109,8 +126,13 @@ def segment_pairs(segments: DataFrame, image_pairs: DataFrame) -> DataFrame:
     b = s.select(F.col("image_id").alias("j"), F.col("seg_idx").alias("b"), F.struct("part", "color", "center", "area").alias("y"))
     p = image_pairs.join(a, "i").join(b, "j")
     unit = lambda d: F.least(F.lit(1.0), d)
-    sim = segment_similarity(unit(euclidean(F.col("x.color"), F.col("y.color"))), unit(euclidean(F.col("x.center"), F.col("y.center"))), unit(F.abs(F.col("x.part") - F.col("y.part"))))
-    return p.select("i", "j", "a", "b", F.round(sim, 9).alias("s"), F.col("x.area").alias("size"))
+    values = {"color": unit(euclidean(F.col("x.color"), F.col("y.color"))), "place": unit(euclidean(F.col("x.center"), F.col("y.center"))), "area": unit(F.abs(F.col("x.part") - F.col("y.part")))}
+    p = p.select("i", "j", "a", "b", F.col("x.area").alias("size"), *(v.alias(n) for n, v in values.items()))
+    engine = match_engine()
+    levels = engine.levels({n: F.col(n) for n in values})
+    p = p.select("i", "j", "a", "b", "size", *(v.alias(f"l{k}") for k, v in enumerate(levels)))
+    s_ = engine.conclude([F.col(f"l{k}") for k in range(len(levels))], n=20)
+    return p.select("i", "j", "a", "b", F.round(s_, 9).alias("s"), "size")
 
 
 def one_to_one(similar: DataFrame) -> DataFrame:

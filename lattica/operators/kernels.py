@@ -97,7 +97,7 @@ def felzenszwalb(pixels: DataFrame, edges: DataFrame, k: float = 1000.0, parts:
         return pd.DataFrame({"image_id": int(p["image_id"].iloc[0]), "pix": pix, "root": first})
 
     p = pixels.select("image_id", (F.col("r") * F.col("width") + F.col("c")).cast("long").alias("pix"), (F.col("height") * F.col("width")).alias("n"), "mask")
-    return p.groupBy("image_id").cogroup(edges.select("image_id", "edge_no", "src", "dst", "w").groupBy("image_id")).applyInPandas(run, "image_id long, pix long, root long")
+    return p.groupBy("image_id").cogroup(edges.select("image_id", "edge_no", "src", "dst", "w").toDF("image_id", "edge_no", "src", "dst", "w").groupBy("image_id")).applyInPandas(run, "image_id long, pix long, root long")
 
 
 def fuse_small(components: DataFrame, edges: DataFrame, mask: DataFrame, least: int) -> DataFrame:
@@ -117,7 +117,7 @@ def fuse_small(components: DataFrame, edges: DataFrame, mask: DataFrame, least:
         return pd.DataFrame({"image_id": p["image_id"].to_numpy(), "pix": p["pix"].to_numpy(), "root": first})
 
     p = components.join(mask.select("image_id", "pix", "mask"), ["image_id", "pix"])
-    return p.groupBy("image_id").cogroup(edges.groupBy("image_id")).applyInPandas(run, "image_id long, pix long, root long")
+    return p.groupBy("image_id").cogroup(edges.toDF(*edges.columns).groupBy("image_id")).applyInPandas(run, "image_id long, pix long, root long")
 
 
 def fuse_down_to(n: int, forest: Forest, edges: list[tuple[int, int, float]]) -> None:
