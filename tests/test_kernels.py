@@ -68,7 +68,7 @@ def test_conjugate_gradient():
 
 def test_felzenszwalb_and_fusing():
     edges = [(0, 1, 0.1), (1, 2, 5.0), (2, 3, 0.1), (3, 4, 9.0)]
-    f = K.felzenszwalb_sets(5, edges, 0.2, 0, np.ones(5))
+    f = K.felzenszwalb_sets(5, edges, 0.2, 0, np.ones(5), "cardinality")
     assert f.find(0) == f.find(1) != f.find(2) == f.find(3) != f.find(4)
     K.fuse_small_sets(f, [(a, b) for a, b, _ in edges], 2, np.ones(5))
     assert f.find(3) == f.find(4)
