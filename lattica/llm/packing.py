@@ -18,7 +18,7 @@ from lattica.llm.common import batches, materialize, read, tuned
 
 CAPACITY = 4096
 END_ID = 1
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 
 
 def default_tokenizer() -> str:
@@ -41,10 +41,30 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.split = regex.compile(SPACES).split
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def learn(self, chunks: list[str]) -> None:
+        # Letters alone are one word to the pattern, and its last id ends a word: many go through in one text.
+        alone = [c for c in chunks if c.isalpha()]
+        if alone:
+            for i in range(0, len(alone), 400):
+                part = alone[i : i + 400]
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) != len(part):
+                    self._one_by_one(part)
+                    continue
+                raw, at = ids.tobytes(), 0
+                for c, e in zip(part, (4 * ends).tolist(), strict=True):
+                    self.young[c] = raw[at:e]
+                    at = e
+        self._one_by_one([c for c in chunks if not c.isalpha()])
+
+    def _one_by_one(self, chunks: list[str]) -> None:
         for i in range(0, len(chunks), 2000):
             part = chunks[i : i + 2000]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
