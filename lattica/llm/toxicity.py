@@ -18,9 +18,10 @@ WINDOW, STRIDE = 32, 16
 BUCKETS, SIZE, STATE = 1 << 16, 8, 8
 #: Prefix lengths of a word's character n-grams.
 PREFIXES = (3, 4, 5, 6)
-#: The bounded sample the network is fitted on: texts of either label, windows of a text in a pass, and passes.
+#: The bounded sample the network is fitted on: texts of either label, windows of a text in a pass, and least
+#: numbers of passes and of steps.
 SAMPLE = {1: 900, 0: 1800}
-SAMPLE_WINDOWS, PASSES = 64, 6
+SAMPLE_WINDOWS, PASSES, STEPS = 64, 6, 180
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
@@ -212,7 +213,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 1) -> Network:
     y = np.array(labels)
     begin = np.searchsorted(text, np.arange(len(y) + 1))
     state: dict = {}
-    for k in range(PASSES):
+    passes, k, steps = PASSES, -1, 0
+    while (k := k + 1) < passes:
         shuffled = rng.permutation(len(start))
         shuffled = shuffled[np.argsort(text[shuffled], kind="stable")]
         place = np.arange(len(start)) - begin[text[shuffled]]
@@ -221,13 +223,16 @@ def fit(texts: list[str], labels: list[int], seed: int = 1) -> Network:
         score = np.concatenate([net.logits(gates, kind, start[few[i : i + 2048]], n[few[i : i + 2048]]) for i in range(0, len(few), 2048)])
         by = few[np.lexsort([-score, text[few]])]
         rank = np.arange(len(by)) - np.searchsorted(text[by], text[by])
-        take = np.where(y[text[by]] == 1, rank < (4 if k < 2 else 1), rank < 2)
+        take = np.where(y[text[by]] == 1, rank < (4 if 3 * k < passes else 1), rank < 2)
         chosen = np.unique(np.concatenate([by[take], few[(y[text[few]] == 0) & (rng.random(len(few)) < 0.08)]]))
         chosen = rng.permutation(chosen)
         weight = np.where(y[text] == 1, max(1.0, (y[text[chosen]] == 0).sum() / max(1, (y[text[chosen]] == 1).sum()) / 2), 1.0)
-        for i in range(0, len(chosen), 256):
-            c = chosen[i : i + 256]
-            net.step(features, kind, start[c], n[c], y[text[c]], weight[c], state, 0.01 if k < PASSES - 2 else 0.003)
+        for i in range(0, len(chosen), 128):
+            c = chosen[i : i + 128]
+            net.step(features, kind, start[c], n[c], y[text[c]], weight[c], state, 0.01 if 3 * k < 2 * passes else 0.003)
+            steps += 1
+        if k == 0:  # few texts are seen more often
+            passes = max(PASSES, min(60, -(-STEPS // max(1, steps))))
     net.tables = None
     # The cut lies midway between the highest scores of clean texts and the lowest of toxic ones.
     gates = net.gates(features).astype(np.float32)
@@ -244,13 +249,16 @@ def held_out() -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network:
-    """Fits a network on a bounded sample (SAMPLE) of labelled rows that are not held out, chosen by a hash of the text."""
-    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "toxic")
-    usable = docs.where("text IS NOT NULL").where(~held_out()).select("doc_id", "text").join(known, "doc_id")
-    order = F.xxhash64(F.substring("text", 1, 200), F.length("text"))
+    """Fits a network on a bounded sample (SAMPLE) of labelled rows that are not held out, chosen by a hash of the id."""
+    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).select("doc_id", "toxic").distinct()
     picked: list[tuple[str, int]] = []
     for toxic, most in SAMPLE.items():
-        picked += [(r[0], toxic) for r in usable.where(F.col("toxic") == toxic).withColumn("o", order).orderBy("o", "doc_id").limit(most).select("text").collect()]
+        # Ids are chosen among the labels alone, twice as many as are used, as some may have no text here; so many ids,
+        # whatever the corpus, are what is broadcast, and texts stay where they lie.
+        ids = known.where(F.col("toxic") == toxic).select("doc_id", F.xxhash64("doc_id").alias("o")).orderBy("o", "doc_id").limit(2 * most)
+        found = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("o", "doc_id").orderBy("o", "doc_id").limit(most)
+        rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(found.select("doc_id").distinct()), "doc_id").select("doc_id", "text").collect()
+        picked += [(r[1], toxic) for r in sorted(rows, key=lambda r: (r[0], r[1]))]
     return fit([t for t, _ in picked], [y for _, y in picked])
 
 
