@@ -23,7 +23,7 @@ def _masked(token: Column) -> Column:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows with a key of id and text, and a name of the text."""
-    return docs.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("same", F.xxhash64("text", F.length("text")))
+    return docs.withColumn("_lines_key", F.xxhash64("doc_id", "text")).withColumn("_lines_same", F.xxhash64("text", F.length("text")))
 
 
 def recurring_lines(keyed: DataFrame, min_texts: int = MIN_TEXTS, lead: int = LEAD, *, keep_first: bool = False) -> DataFrame:
@@ -75,15 +75,16 @@ def drop_recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, lead: int
     all of them lose the same lines.
     """
     keyed = _keyed(docs)
-    gone = recurring_lines(keyed, min_texts, lead, keep_first=keep_first)
-    gone = materialize(gone.groupBy("key").agg(F.collect_set("pos").alias("gone")), "dropped-lines")
-    d = keyed.join(gone, "key", "left")
+    own = keyed.select(F.col("_lines_key").alias("key"), F.col("_lines_same").alias("same"), "doc_id", "text")
+    gone = recurring_lines(own, min_texts, lead, keep_first=keep_first)
+    gone = materialize(gone.groupBy("key").agg(F.collect_set("pos").alias("gone")), "dropped-lines").toDF("_lines_key", "_lines_gone")
+    d = keyed.join(gone, "_lines_key", "left")
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("gone", i))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))
+    kept = F.filter(lines, lambda _, i: ~F.array_contains("_lines_gone", i))
+    text = F.when(F.col("_lines_gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))
     out = d.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
-    out = out.withColumn("n_dropped", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).withColumn("n_dropped", F.when(F.col("gone").isNull(), 0).otherwise(F.col("n_dropped")).cast("long"))
-    return out.withColumn("text", text).select(*docs.columns, "n_lines", "n_dropped")
+    out = out.withColumn("n_dropped", F.coalesce(F.size("_lines_gone"), F.lit(0)).cast("long")).withColumn("n_dropped", F.when(F.col("_lines_gone").isNull(), 0).otherwise(F.col("n_dropped")).cast("long"))
+    return out.withColumn("text", text).select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
 
 
 def op5_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:

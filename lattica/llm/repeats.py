@@ -27,9 +27,13 @@ PHRASES = "key long, copy long, trigger long, phrase long, low int, at int, high
 CROWD = 8192
 
 
+#: Names of the columns that removed() works with and adds, which clash with no other.
+KEY, COPY, FIRST, LAST = "_repeats_key", "_repeats_copy", "_repeats_first", "_repeats_last"
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Rows with a key of id and text: equal rows share it, and have the same repeats."""
-    return docs.withColumn("key", F.xxhash64(F.lit(1), "doc_id", "text")).withColumn("copy", F.xxhash64(F.lit(2), "text", "doc_id"))
+    return docs.withColumn(KEY, F.xxhash64(F.lit(1), "doc_id", "text")).withColumn(COPY, F.xxhash64(F.lit(2), "text", "doc_id"))
 
 
 def triggers(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -131,7 +135,6 @@ def equal_strings(group: np.ndarray, before: np.ndarray, behind: np.ndarray, low
 
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """For each wanted phrase the bytes of its strings: (trigger, phrase, low, at, high, bytes)."""
-    half = length // 2
     lists = wanted.groupBy("key", "copy").agg(F.collect_list(F.struct("trigger", "phrase", "low", "at", "high")).alias("all"))  # no more than a text has
 
     schema = pa.schema([("trigger", pa.int64()), ("phrase", pa.int64()), ("front", pa.int32()), ("back", pa.int32()), ("bytes", pa.binary())])
@@ -146,7 +149,6 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                         o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, schema, strict=True)], schema=schema)
 
-    _ = half
     return docs.select("key", "copy", "text").join(lists, ["key", "copy"]).select("text", "all").mapInArrow(run, "trigger long, phrase long, front int, back int, bytes binary")
 
 
@@ -221,7 +223,7 @@ def _counted_strings(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, copy, first, last) for keyed docs: runs of bytes first to last (exclusive) of strings that start elsewhere too.
+    """(key, copy, first, last) for docs(key, copy, text): runs of bytes first to last (exclusive) of strings that start elsewhere too.
 
     Runs may touch or overlap.
     """
@@ -246,9 +248,9 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs (doc_id, text and any other columns) with first and last: sorted arrays of the maximal runs to remove, or null."""
+    """docs (doc_id, text and any other columns) with FIRST and LAST: sorted arrays of the maximal runs to remove, or null."""
     d = keyed(docs)
-    s = materialize(spans(d, length), "spans")
+    s = materialize(spans(d.select(F.col(KEY).alias("key"), F.col(COPY).alias("copy"), "text"), length), "spans")
 
     schema = pa.schema([("key", pa.int64()), ("copy", pa.int64()), ("first", pa.list_(pa.int32())), ("last", pa.list_(pa.int32()))])
 
@@ -269,7 +271,8 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     # A text has fewer runs than triggers; equal rows share a key, so their runs are made distinct first.
     lists = s.distinct().groupBy("key", "copy").agg(F.collect_list(F.struct("first", "last")).alias("x")).mapInArrow(merge, "key long, copy long, first array<int>, last array<int>")
-    return d.join(materialize(lists, "lists"), ["key", "copy"], "left").drop("key", "copy")
+    lists = materialize(lists, "lists").toDF(KEY, COPY, FIRST, LAST)
+    return d.join(lists, [KEY, COPY], "left").drop(KEY, COPY)
 
 
 def _kept(text: bytes, first: list[int] | None, last: list[int] | None) -> bytes:
@@ -287,9 +290,9 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def cut(text, first, last):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series([None if t is None else _kept(t.encode(), f, e).decode("utf-8", "ignore") if f is not None else t for t, f, e in zip(text, first, last, strict=True)], dtype=object)
+        return pd.Series([None if t is None else _kept(t.encode(), list(f), list(e)).decode("utf-8", "ignore") if f is not None else t for t, f, e in zip(text, first, last, strict=True)], dtype=object)
 
-    text = F.when(F.col("first").isNull(), F.col("text")).otherwise(cut("text", "first", "last"))
+    text = F.when(F.col(FIRST).isNull(), F.col("text")).otherwise(cut("text", FIRST, LAST))
     return d.withColumn("text", text).select(*names)
 
 
@@ -312,4 +315,4 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return d.select("doc_id", "text", "first", "last").mapInArrow(run, RESULT)
+    return d.select("doc_id", "text", FIRST, LAST).mapInArrow(run, RESULT)

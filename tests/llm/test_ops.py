@@ -202,9 +202,11 @@ def test_repeats(docs, empty, monkeypatch, crowd):
     got = []
     for r in repeats.removed(docs.select("doc_id", "text", "score")).collect():
         t = (r.text or "").encode()
-        got.append((-1 if r.doc_id is None else r.doc_id, len(t), repeats._kept(t, r["first"], r["last"])))
+        got.append((-1 if r.doc_id is None else r.doc_id, len(t), repeats._kept(t, r[repeats.FIRST], r[repeats.LAST])))
     assert sorted(got) == sorted(want)
     if crowd > 1:
+        cut = {r.doc_id: r.text for r in repeats.cleaned(docs).where("doc_id > 5").collect()}
+        assert cut[10] == next(k for i, _, k in want if i == 10).decode() and repeats.cleaned(docs).columns == docs.columns
         assert repeats.cleaned(empty.select("doc_id", "text")).count() == 0
 
 
@@ -212,7 +214,7 @@ def test_line_dedup(spark, empty):
     rows = [(i, f"{prose(i, 9)}\nUser {i} came in at {i}:00 today\nAll rights reserved.\n") for i in range(12)] + [(12, None), (13, ""), (0, f"{prose(0, 9)}\nUser 0 came in at 0:00 today\nAll rights reserved.\n")]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("x"))
     got = linedup.drop_recurring_lines(d).collect()
-    assert all(r.text == f"{prose(r.doc_id, 9)}\n" and r.n_dropped == 2 for r in got if r.doc_id < 12) and len(got) == 15
+    assert all(r.key == "x" and r.text == f"{prose(r.doc_id, 9)}\n" and r.n_dropped == 2 for r in got if r.doc_id < 12) and len(got) == 15
     assert {(r.doc_id, r.text, r.n_lines) for r in got if r.doc_id > 11} == {(12, None, 0), (13, "", 1)}
     kept = linedup.drop_recurring_lines(d, keep_first=True).where("doc_id = 3").first()
     assert kept.n_dropped == 2
@@ -243,3 +245,15 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.scored(empty, net).count() == 0 and 0 < toxicity.fit([], []).scores(pa.array([""]))[0] < 0.5
     held = spark.range(40).select(F.col("id").alias("doc_id")).withColumn("h", toxicity.held_out()).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in held)
+
+
+def test_pipeline(spark):
+    """Stages keep columns, and what each drops is what its operator says."""
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert [n for n, _ in P.STAGES] == ["toxicity", "line_dedup", "near_dedup", "passage_dedup", "packing"]
+    out = P.run(spark, sf).collect()
+    ids = {r.doc_id for r in docs.select("doc_id").collect()}
+    assert out and {r.doc_id for r in out} <= ids and all(r.offset + r.length <= 4096 for r in out)
