@@ -13,12 +13,10 @@ WILD = "<*>"
 _SPACE = r"[ \t\r]+"
 
 
-def _tokens(line: Column) -> Column:
-    return F.split(F.regexp_replace(line, rf"^{_SPACE}|{_SPACE}$", ""), _SPACE)
-
-
-def _masked(token: Column) -> Column:
-    return F.when(token.rlike("[0-9]"), F.lit(WILD)).otherwise(token)
+def _masked(line: Column) -> Column:
+    """The line without outer blanks, and with a variable for each token that has a digit; tokens are tried at their starts only."""
+    bare = F.btrim(line, F.lit(" \t\r"))
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(bare, r"(?<![^ \t\r])[^ \t\r0-9]*+[0-9][^ \t\r]*+", WILD)).otherwise(bare)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -36,9 +34,8 @@ def recurring_lines(keyed: DataFrame, min_texts: int = MIN_TEXTS, lead: int = LE
     template; lines of leaves that too few texts share are left aside first.
     """
     lines = keyed.where("text IS NOT NULL").select("key", "doc_id", "same", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.withColumn("t", _tokens(F.col("line"))).where(F.length(F.element_at("t", 1)) > 0)
-    head = F.transform(F.slice("t", 1, lead), _masked)
-    named = lines.select("key", "doc_id", "same", "pos", F.xxhash64(F.size("t"), head).alias("leaf"), F.xxhash64(F.concat_ws(" ", F.transform("t", _masked)), F.lit(1)).alias("whole"))
+    lines = lines.where(F.col("line").rlike(r"[^ \t\r]")).withColumn("t", F.split(_masked(F.col("line")), _SPACE))
+    named = lines.select("key", "doc_id", "same", "pos", F.xxhash64(F.size("t"), F.slice("t", 1, lead)).alias("leaf"), F.xxhash64(F.concat_ws(" ", "t"), F.lit(1)).alias("whole"))
     named = materialize(named, "lines")
     often = lambda by: named.select(by, "same").distinct().groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select(by)
     leaves = materialize(often("leaf"), "leaves")
@@ -47,13 +44,13 @@ def recurring_lines(keyed: DataFrame, min_texts: int = MIN_TEXTS, lead: int = LE
     # Tokens of the lines that are left, from the texts that have one.
     wanted = live.groupBy("key").agg(F.collect_set(F.struct("pos", "leaf")).alias("w"))  # no more than a text's lines
     cut = keyed.select("key", "text").dropDuplicates(["key"]).join(wanted, "key").select("key", F.split("text", "\n", -1).alias("l"), F.explode("w").alias("w"))
-    tokens = materialize(cut.select("key", "w.pos", "w.leaf", _tokens(F.element_at("l", F.col("w.pos") + 1)).alias("t")), "live-tokens")
-    each = tokens.select("leaf", "key", "pos", F.size("t").alias("n"), F.posexplode("t").alias("place", "token")).withColumn("token", _masked(F.col("token")))
+    tokens = materialize(cut.select("key", "w.pos", "w.leaf", F.split(_masked(F.element_at("l", F.col("w.pos") + 1)), _SPACE).alias("t")), "live-tokens")
+    each = tokens.select("leaf", "key", "pos", F.size("t").alias("n"), F.posexplode("t").alias("place", "token"))
     votes = each.groupBy("leaf", "n", "place", "token").agg(F.count("*").alias("c"))
     modes = votes.groupBy("leaf", "n", "place").agg(F.max(F.struct("c", "token")).alias("m"), F.sum("c").alias("all")).where((2 * F.col("m.c") >= F.col("all")) & (F.col("m.token") != WILD)).select("leaf", "n", "place", F.col("m.token").alias("token"))
     per_leaf = modes.groupBy("leaf", "n").agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("constants")).where(2 * F.size("constants") >= F.col("n"))
     templates = materialize(per_leaf.select("leaf", "constants"), "templates")  # one row for a leaf, as long as its lines
-    hits = F.aggregate(F.map_entries("constants"), F.lit(0), lambda a, e: a + F.when(_masked(F.element_at("t", e["key"] + 1)) == e["value"], 1).otherwise(0))
+    hits = F.aggregate(F.map_entries("constants"), F.lit(0), lambda a, e: a + F.when(F.element_at("t", e["key"] + 1) == e["value"], 1).otherwise(0))
     fit = tokens.join(templates, "leaf").where(10 * hits >= 8 * F.size("constants")).select("key", "pos", F.col("leaf").alias("fits"))
     marked = live.join(fit, ["key", "pos"], "left")
     marked = materialize(marked, "marked-lines")
@@ -78,9 +75,10 @@ def drop_recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, lead: int
     own = keyed.select(F.col("_lines_key").alias("key"), F.col("_lines_same").alias("same"), "doc_id", "text")
     gone = recurring_lines(own, min_texts, lead, keep_first=keep_first)
     gone = materialize(gone.groupBy("key").agg(F.collect_set("pos").alias("gone")), "dropped-lines").toDF("_lines_key", "_lines_gone")
-    d = keyed.join(gone, "_lines_key", "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("_lines_gone", i))
+    d = keyed.join(gone, "_lines_key", "left").withColumn("_lines_all", F.split("text", "\n", -1))
+    lines = F.col("_lines_all")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_lines_gone")  # hashed, so long texts stay linear
+    kept = F.transform(left, lambda i: F.element_at(lines, i + 1))
     text = F.when(F.col("_lines_gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))
     out = d.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
     out = out.withColumn("n_dropped", F.coalesce(F.size("_lines_gone"), F.lit(0)).cast("long")).withColumn("n_dropped", F.when(F.col("_lines_gone").isNull(), 0).otherwise(F.col("n_dropped")).cast("long"))
