@@ -35,26 +35,20 @@ def recurring_lines(keyed: DataFrame, min_texts: int = MIN_TEXTS, lead: int = LE
     """
     lines = keyed.where("text IS NOT NULL").select("key", "doc_id", "same", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = lines.where(F.col("line").rlike(r"[^ \t\r]")).withColumn("t", F.split(_masked(F.col("line")), _SPACE))
-    named = lines.select("key", "doc_id", "same", "pos", F.xxhash64(F.size("t"), F.slice("t", 1, lead)).alias("leaf"), F.xxhash64(F.concat_ws(" ", "t"), F.lit(1)).alias("whole"))
-    named = materialize(named, "lines")
-    often = lambda by: named.select(by, "same").distinct().groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select(by)
-    leaves = materialize(often("leaf"), "leaves")
-    live = materialize(named.join(leaves, "leaf"), "live-lines")
-
-    # Tokens of the lines that are left, from the texts that have one.
-    wanted = live.groupBy("key").agg(F.collect_set(F.struct("pos", "leaf")).alias("w"))  # no more than a text's lines
-    cut = keyed.select("key", "text").dropDuplicates(["key"]).join(wanted, "key").select("key", F.split("text", "\n", -1).alias("l"), F.explode("w").alias("w"))
-    tokens = materialize(cut.select("key", "w.pos", "w.leaf", F.split(_masked(F.element_at("l", F.col("w.pos") + 1)), _SPACE).alias("t")), "live-tokens")
+    lines = lines.select("key", "doc_id", "same", "pos", "t", F.xxhash64(F.size("t"), F.slice("t", 1, lead)).alias("leaf"), F.xxhash64(F.concat_ws(" ", "t"), F.lit(1)).alias("whole"))
+    often = lambda rows, by: rows.select(by, "same").distinct().groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select(by)
+    leaves = materialize(often(lines, "leaf"), "leaves")
+    # Texts are read again rather than moved: only lines of the leaves that are left are written.
+    tokens = materialize(lines.join(leaves, "leaf"), "live-lines")
     each = tokens.select("leaf", "key", "pos", F.size("t").alias("n"), F.posexplode("t").alias("place", "token"))
     votes = each.groupBy("leaf", "n", "place", "token").agg(F.count("*").alias("c"))
     modes = votes.groupBy("leaf", "n", "place").agg(F.max(F.struct("c", "token")).alias("m"), F.sum("c").alias("all")).where((2 * F.col("m.c") >= F.col("all")) & (F.col("m.token") != WILD)).select("leaf", "n", "place", F.col("m.token").alias("token"))
     per_leaf = modes.groupBy("leaf", "n").agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("constants")).where(2 * F.size("constants") >= F.col("n"))
     templates = materialize(per_leaf.select("leaf", "constants"), "templates")  # one row for a leaf, as long as its lines
     hits = F.aggregate(F.map_entries("constants"), F.lit(0), lambda a, e: a + F.when(F.element_at("t", e["key"] + 1) == e["value"], 1).otherwise(0))
-    fit = tokens.join(templates, "leaf").where(10 * hits >= 8 * F.size("constants")).select("key", "pos", F.col("leaf").alias("fits"))
-    marked = live.join(fit, ["key", "pos"], "left")
+    marked = tokens.join(templates, "leaf", "left").select("key", "doc_id", "same", "pos", "whole", F.when(10 * hits >= 8 * F.size("constants"), F.col("leaf")).alias("fits"))
     marked = materialize(marked, "marked-lines")
-    often2 = lambda by: marked.where(F.col(by).isNotNull()).select(by, "same").distinct().groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select(by, F.lit(True).alias(f"{by}_often"))
+    often2 = lambda by: often(marked.where(F.col(by).isNotNull()), by).withColumn(f"{by}_often", F.lit(True))
     wholes, fits = materialize(often2("whole"), "wholes"), materialize(often2("fits"), "fits")
     out = marked.join(fits, "fits", "left").join(wholes, "whole", "left").where("fits_often OR whole_often")
     out = out.select("key", "pos", "doc_id", F.when(F.col("fits_often"), F.col("fits")).otherwise(F.col("whole")).alias("template"))
@@ -75,7 +69,8 @@ def drop_recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, lead: int
     own = keyed.select(F.col("_lines_key").alias("key"), F.col("_lines_same").alias("same"), "doc_id", "text")
     gone = recurring_lines(own, min_texts, lead, keep_first=keep_first)
     gone = materialize(gone.groupBy("key").agg(F.collect_set("pos").alias("gone")), "dropped-lines").toDF("_lines_key", "_lines_gone")
-    d = keyed.join(gone, "_lines_key", "left").withColumn("_lines_all", F.split("text", "\n", -1))
+    # Lines to drop grow with the corpus, so texts are sorted towards them at every size.
+    d = keyed.join(gone.hint("merge"), "_lines_key", "left").withColumn("_lines_all", F.split("text", "\n", -1))
     lines = F.col("_lines_all")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_lines_gone")  # hashed, so long texts stay linear
     kept = F.transform(left, lambda i: F.element_at(lines, i + 1))
