@@ -162,9 +162,87 @@ def predict_by_similarity(sim: DataFrame, labels: DataFrame) -> DataFrame:
     return best.join(own, "i").join(other, "neighbour").select(F.col("i").alias("id"), "label", "predicted", "neighbour")
 
 
-def matching_classifier(segments: DataFrame, image_pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Segment-matching nearest neighbour over the image pairs given."""
-    return predict_by_similarity(image_similarity(one_to_one(segment_pairs(segments, image_pairs))), labels)
+def match_values(colour: np.ndarray, place: np.ndarray, area: np.ndarray, n: int = 20) -> np.ndarray:
+    """segment_similarity on arrays, to nine digits: the rules of match_engine, written out."""
+
+    def s_shape(x: np.ndarray, a: float, b: float) -> np.ndarray:
+        return np.select([x <= a, x <= (a + b) / 2, x < b], [0.0, 2 * ((x - a) / (b - a)) ** 2, 1 - 2 * ((x - b) / (b - a)) ** 2], 1.0)
+
+    near, far = (lambda x: 1 - s_shape(x, 0.0, 0.6)), (lambda x: s_shape(x, 0.3, 1.0))
+    high = np.minimum(np.minimum(near(colour), near(place)), near(area))
+    low = np.maximum(np.maximum(far(colour), far(place)), far(area) ** 2 * 0.5)
+    weight, moment = np.zeros_like(high), np.zeros_like(high)
+    for i in range(n):
+        v = (i + 0.5) / n
+        t = np.maximum(np.minimum(min(1.0, max(0.0, (v - 0.4) / (1.0 - 0.4))), high), np.minimum(min(1.0, max(0.0, (v - 0.6) / (0.0 - 0.6))), low))
+        weight += t
+        moment += v * t
+    return np.round(np.divide(moment, weight, out=np.zeros_like(weight), where=weight > 0), 9)
+
+
+def matched_similarity(s: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """one_to_one and image_similarity of s[i, j, a, b] (below 0 where a or b is no segment) with size[i, a]."""
+    n, m, a, b = s.shape
+    s, i = s.reshape(n * m, a, b).copy(), np.arange(n * m)
+    total, weight = np.zeros(n * m), np.zeros(n * m)
+    for _ in range(min(a, b)):
+        at = s.reshape(n * m, a * b).argmax(axis=1)  # the first of equal ones: the least a, then b
+        x, y = at // b, at % b
+        best = s[i, x, y]
+        part = np.where(best >= 0, size[i // m, x], 0)
+        total += np.maximum(best, 0) * part
+        weight += part
+        s[i, x, :] = -1
+        s[i, :, y] = -1
+    return np.divide(total, weight, out=np.full(n * m, -1.0), where=weight > 0).reshape(n, m)
+
+
+def most_similar(segments: DataFrame, block: int = 256, step: int = 16) -> DataFrame:
+    """sim(i, j, s): for each image the most similar of all others (ties: the smaller id), by matched segments.
+
+    Images are dealt into blocks of about `block`; each pair of blocks is one task's work, `step` images at a time, of
+    which only the best for each image leaves. An image of background alone has no segments to match, and no row.
+    """
+    total = F.sum("area").over(Window.partitionBy("image_id"))
+    s = segments.withColumn("part", F.col("area") / total).where("NOT is_background")
+    s = s.select(F.col("image_id").alias("id"), "seg_idx", "area", "part", "color", "center")
+    n = max(1, -(-s.select("id").distinct().count() // block))
+    deal, every = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    one, two = s.withColumn("p", deal).withColumn("q", every), s.toDF(*s.columns).withColumn("q", deal).withColumn("p", every)
+
+    def images(d: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        d = d.sort_values(["id", "seg_idx"])
+        ids, first, count = np.unique(d["id"].to_numpy(), return_index=True, return_counts=True)
+        place = np.arange(count.max())
+        rows = np.where(place < count[:, None], first[:, None] + place, -1)  # -1: no segment
+        return ids, [np.stack(d["color"].to_numpy()), np.stack(d["center"].to_numpy()), d["part"].to_numpy()[:, None], d["area"].to_numpy(float)], rows
+
+    def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.minimum(1.0, np.sqrt(sum((x[:, None, k] - y[None, :, k]) ** 2 for k in range(x.shape[1]))))
+
+    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "s": np.zeros(0)})
+        (ids, x, rows), (others, y, columns), out = images(a), images(b), []
+        for k in range(0, len(ids), step):
+            r = rows[k : k + step]
+            low, high = r[0, 0], r.max() + 1
+            values = match_values(*(distance(u[low:high], v) for u, v in zip(x[:3], y[:3], strict=True)))
+            values = np.pad(values, ((0, 1), (0, 1)), constant_values=-1.0)  # what -1 points to
+            at = np.where(r < 0, -1, r - low)
+            sim = matched_similarity(values[at[:, None, :, None], columns[None, :, None, :]], x[3][r])
+            sim[ids[k : k + step, None] == others[None]] = -1
+            best = sim.argmax(axis=1)
+            out += [(i, others[j], z[j]) for i, j, z in zip(ids[k : k + step], best, sim, strict=True) if z[j] >= 0]
+        return pd.DataFrame(out, columns=["i", "j", "s"])
+
+    found = one.groupBy("p", "q").cogroup(two.groupBy("p", "q")).applyInPandas(search, "i long, j long, s double")
+    return found.groupBy("i").agg(F.min_by(F.struct("j", "s"), F.struct(-F.col("s"), "j")).alias("m")).select("i", "m.j", "m.s")
+
+
+def matching_classifier(segments: DataFrame, labels: DataFrame) -> DataFrame:
+    """Segment-matching nearest neighbour, leaving one out: each image against all others."""
+    return predict_by_similarity(most_similar(segments), labels)
 
 
 # --- other classifiers --------------------------------------------------------------------------------------------------

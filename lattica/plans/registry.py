@@ -606,12 +606,10 @@ def subspace_distance(spark, d):
 
 @query()
 def matching_classifier(spark, d):
-    """Segment matching between each image and the ten whose ids follow."""
+    """The class of the most similar of all other images, by segment matching."""
     px = vector_images(spark, d)
     seg = S.segment_attributes(px.drop("pix", "label"), _segments(px), BGR)
-    ids = vectors(spark, d).select("id", "label")
-    near = ids.select(F.col("id").alias("i"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + 10)).alias("j"))
-    return C.matching_classifier(seg, near, ids)
+    return C.matching_classifier(seg, vectors(spark, d).select("id", "label"))
 
 
 @query()
