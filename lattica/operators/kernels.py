@@ -200,13 +200,33 @@ def spectral_embedding(edges: DataFrame, k: int, keys: str = "graph", *, normali
     return edges.groupBy(keys).applyInPandas(run, f"{keys} long, v long, e array<double>")
 
 
+def k_means(x: np.ndarray, k: int, seed: int = 1, rounds: int = 100) -> np.ndarray:
+    """Lloyd's rounds from k-means++ centres; an empty cluster keeps its centre."""
+    rng = np.random.default_rng(seed)
+    centres = x[[int(rng.integers(len(x)))]]
+    while len(centres) < k:
+        d = ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1)
+        if d.sum() <= 0:  # fewer distinct rows than clusters
+            break
+        centres = np.vstack([centres, x[rng.choice(len(x), p=d / d.sum())]])
+    own = np.full(len(x), -1)
+    for _ in range(rounds):
+        new = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        if (new == own).all():
+            break
+        own = new
+        centres = np.stack([x[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
+    return own
+
+
 def spectral_clusters(edges: DataFrame, k: int, keys: str = "graph", seed: int = 1) -> DataFrame:
-    """(v, cluster) of one graph: k-means over its spectral embedding."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    """(graph, v, cluster): k-means over each graph's spectral embedding."""
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("v")
+        return pd.DataFrame({keys: d[keys].to_numpy(), "v": d["v"].to_numpy(), "cluster": k_means(np.stack(d["e"].to_numpy()), k, seed)})
 
-    e = spectral_embedding(edges, k, keys, unit_rows=True).withColumn("features", array_to_vector("e"))
-    return KMeans(k=k, seed=seed, initMode="random").fit(e).transform(e).select("v", F.col("prediction").alias("cluster"))
+    return spectral_embedding(edges, k, keys, unit_rows=True).groupBy(keys).applyInPandas(run, f"{keys} long, v long, cluster int")
 
 
 def power_iteration_clusters(edges: DataFrame, k: int, rounds: int = 20) -> DataFrame:

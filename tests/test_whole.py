@@ -42,3 +42,40 @@ def test_match_values_are_the_engine(spark):
     df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "k int, a double, b double, c double")
     want = [r.s for r in df.select("k", C.segment_similarity(F.col("a"), F.col("b"), F.col("c")).alias("s")).orderBy("k").collect()]
     assert np.allclose(C.match_values(*x.T), want, atol=2e-9)
+
+
+@pytest.mark.parametrize("name", ["spectral_embedding", "spectral_clusters", "normalized_cuts", "isoperimetric_partition"])
+def test_label_graphs_hold_every_sample(spark, some, name):
+    want = {(r.label, r.id) for r in T.vectors(spark, some).collect()}
+    several = {k for k, _ in want if sum(x == k for x, _ in want) > 1}
+    got = R.QUERIES[name](spark, some).collect()
+    if name == "spectral_clusters":
+        assert "graph" in got[0].asDict()
+    assert len(got) == len({(r.graph, r.v) for r in got}) and {(r.graph, r.v) for r in got} == {x for x in want if x[0] in several}
+
+
+def test_pattern_vectors_of_whole_labels(spark, tmp_path):
+    """A label of 70 vertices, 60 of them past id 999: more than the 64 asked for, so the pattern grows."""
+    v = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 70").coalesce(1)
+    v.withColumn("vec_id", F.col("vec_id") + 990).withColumn("label", F.lit(3)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    (r,) = R.QUERIES["pattern_vectors"](spark, str(tmp_path)).collect()
+    m = np.zeros((70, 70))
+    for x in R._label_graphs(spark, str(tmp_path)).collect():
+        m[x.src - 990, x.dst - 990] = m[x.dst - 990, x.src - 990] = x.w
+    values, vectors = np.linalg.eigh(np.diag(m.sum(axis=1)) - m)
+    phi = [np.sqrt(values[j]) * R.K.signed(vectors[:, [j]])[:, 0] for j in range(1, 4)]
+    s = np.stack([np.poly(-x)[1:] for x in phi], axis=1)
+    assert np.allclose(r.pattern, (np.sign(s) * np.log1p(np.abs(s))).ravel(), atol=1e-6)
+
+
+def test_k_means():
+    x = np.concatenate([np.random.default_rng(k).normal(4 * k, 0.1, (20, 2)) for k in range(3)])
+    c = R.K.k_means(x, 3)
+    assert [len({*c[20 * k : 20 * k + 20]}) for k in range(3)] == [1, 1, 1] and len({*c}) == 3
+    assert {*R.K.k_means(np.zeros((5, 2)), 3)} == {0}
+
+
+def test_order_components_take_all_orders(spark, tmp_path):
+    spark.createDataFrame([(1, 10), (701, 11), (50, 12), (750, 10), (699, 13)], "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.v: r.root for r in R.QUERIES["order_components"](spark, str(tmp_path)).collect()}
+    assert got == {10: 10, 11: 10, 12: 10, 1_000_001: 10, 1_000_050: 10, 13: 13, 1_000_699: 13}
