@@ -25,6 +25,8 @@ LENGTH = 200
 PHRASES = "key long, copy long, trigger long, phrase long, low int, at int, high int"
 #: Distinct phrases of one trigger that are compared in one task; beyond, their strings are counted one by one.
 CROWD = 8192
+#: Bits for a place within a segment of a text's hashes.
+PLACE_BITS = 25
 
 
 #: Names of the columns that removed() works with and adds, which clash with no other.
@@ -36,6 +38,28 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn(KEY, F.xxhash64(F.lit(1), "doc_id", "text")).withColumn(COPY, F.xxhash64(F.lit(2), "text", "doc_id"))
 
 
+def least_places(h: np.ndarray, window: int, segment: int = 1 << PLACE_BITS) -> np.ndarray:
+    """For each window of h the place of its least value but for the low bits, leftmost where equal.
+
+    Low bits say where a value stands in a segment of h; segments overlap by a window, so h may have any length.
+    """
+    low_bits = np.uint64((1 << PLACE_BITS) - 1)
+    n, step = len(h) - window + 1, segment - window + 1
+    place = np.empty(n, np.int64)
+    for s in range(0, n, step):
+        part = h[s : s + segment]
+        v = (part & ~low_bits) | np.arange(len(part), dtype=np.uint64)
+        rows = -(-len(v) // window)
+        full = np.full(rows * window, np.iinfo(np.uint64).max, np.uint64)
+        full[: len(v)] = v
+        full = full.reshape(rows, window)
+        ahead = np.minimum.accumulate(full, axis=1).ravel()
+        behind = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
+        m = len(part) - window + 1
+        place[s : s + m] = (np.minimum(behind[:m], ahead[window - 1 : window - 1 + m]) & low_bits).astype(np.int64) + s
+    return place
+
+
 def triggers(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Phrases of the joined texts: text number, first and last string start, trigger's place, and hashes of trigger and phrase.
 
@@ -48,18 +72,8 @@ def triggers(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
         return empty
     hashes = Hashes(data)
     h = hashes.every(half)
-    # The least of each window, by a hash whose low bits say where it stands: leftmost where hashes are equal.
-    low_bits = np.uint64((1 << 25) - 1)
-    assert len(h) < 1 << 25
-    v = (h & ~low_bits) | np.arange(len(h), dtype=np.uint64)
     n = len(data) - length + 1
-    rows = -(-len(v) // window)
-    full = np.full(rows * window, np.iinfo(np.uint64).max, np.uint64)
-    full[: len(v)] = v
-    full = full.reshape(rows, window)
-    ahead = np.minimum.accumulate(full, axis=1).ravel()
-    behind = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
-    place = (np.minimum(behind[:n], ahead[window - 1 : window - 1 + n]) & low_bits).astype(np.int64)
+    place = least_places(h, window)
     # Strings that lie within one text; runs of them with one trigger are phrases.
     inside = np.zeros(n + 1, np.int8)
     sizes = np.diff(at)
