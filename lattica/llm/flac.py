@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import batches, joined_bytes, read, tuned
+from lattica.llm.common import batches, joined_bytes, materialize, read, tuned
 
 BLOCK = 1024
 RATE = 8000
@@ -415,41 +415,83 @@ def media(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(write, "doc_id long, n_bytes long, media binary")
 
 
-def pcm_blocks(stored: DataFrame, block: int = 65536) -> DataFrame:
-    """(doc_id, first_sample, pcm): decoded bytes in blocks of so many samples, each with the offset to seek it by."""
-    schema = pa.schema([("doc_id", pa.int64()), ("first_sample", pa.int64()), ("pcm", pa.binary())])
+#: Columns of a stream that its blocks may carry along.
+ALSO = {"n_bytes": ("long", pa.int64()), "media_bytes": ("long", pa.int64()), "media_sha256": ("string", pa.string())}
+
+
+def pcm_blocks(stored: DataFrame, block: int = 65536, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, first_sample, pcm, *also): decoded bytes in blocks of so many samples, each with the offset to seek it by.
+
+    A stream's blocks follow each other in one partition.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("first_sample", pa.int64()), ("pcm", pa.binary()), *((c, ALSO[c][1]) for c in also)])
 
     def cut(it):
         for b in batches(it, rows=4000, size=4 << 20):
-            for i, p in zip(b.column(0).to_pylist(), decode(b.column(1).to_pylist()), strict=True):
-                at = range(0, len(p), block)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array([p[j : j + block] for j in at], pa.binary())], schema=schema)
+            rows = []
+            more = zip(*(c.to_pylist() for c in b.columns[2:]), strict=True) if also else [()] * b.num_rows
+            for i, p, x in zip(b.column(0).to_pylist(), decode(b.column(1).to_pylist()), more, strict=True):
+                p = bytes(p)
+                rows += [(i, j, p[j : j + block], *x) for j in range(0, len(p), block)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return stored.select("doc_id", "media").mapInArrow(cut, "doc_id long, first_sample long, pcm binary")
+    return stored.select("doc_id", "media", *also).mapInArrow(cut, "doc_id long, first_sample long, pcm binary" + "".join(f", {c} {ALSO[c][0]}" for c in also))
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def features(stored: DataFrame) -> DataFrame:
-    """Digests and a short description of each stream, all from the bytes that decoding it gives."""
+class _Stream:
+    """What is summed up of a stream's blocks, one after the other."""
+
+    def __init__(self, *row) -> None:
+        self.row, self.sha, self.tail, self.last = row, hashlib.sha256(), b"", None
+        self.samples = self.sum = self.energy = self.crossings = self.peak = 0
+
+    def add(self, p: bytes) -> None:
+        self.sha.update(p)
+        self.tail = (self.tail + p[-64:])[-64:]
+        x = np.frombuffer(p, np.uint8).astype(np.int64) - 128
+        low = x < 0
+        self.crossings += int((low[1:] != low[:-1]).sum()) + (self.last is not None and self.last != bool(low[0]))
+        self.last = bool(low[-1])
+        self.samples += len(x)
+        self.sum += int(x.sum())
+        self.energy += int((x * x).sum())
+        self.peak = max(self.peak, int(np.abs(x).max()))
+
+    def result(self) -> tuple:
+        i, n, size, sha = self.row
+        about = f"samples={self.samples};sum={self.sum};energy={self.energy};crossings={self.crossings};peak={self.peak}"
+        return i, n, self.samples, self.sha.hexdigest(), zlib.crc32(self.tail), size, sha, about
+
+
+def features(stored: DataFrame, block: int = 65536) -> DataFrame:
+    """Digests and a short description of each stream, all from the blocks that decoding it gives."""
     names = [f.split()[0] for f in FEATURES.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def look(it) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, rows=4000, size=4 << 20):
+        stream = None
+        for b in it:
             rows = []
-            streams = b.column(2).to_pylist()
-            for i, n, m, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), streams, decode(streams), strict=True):
-                x = np.frombuffer(p, np.uint8).astype(np.int64) - 128
-                about = f"samples={len(x)};sum={x.sum()};energy={(x * x).sum()};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};peak={np.abs(x).max()}"
-                rows.append((i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), about))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            for i, first, p, n, size, sha in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if first == 0:
+                    if stream:
+                        rows.append(stream.result())
+                    stream = _Stream(i, n, size, sha)
+                stream.add(p)
+            if rows:
+                yield batch(rows)
+        if stream:
+            yield batch([stream.result()])
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(look, FEATURES)
+    own = stored.select("doc_id", "media", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    return pcm_blocks(own, block, tuple(ALSO)).mapInArrow(look, FEATURES)
 
 
 def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text as FLAC, read back; the features of what was read."""
+    """Every whole text as FLAC in a table of the shared folder, which is read back; the features of what was read."""
     tuned(spark)
-    return features(media(read(spark, sf_dir, "documents")))
+    return features(materialize(media(read(spark, sf_dir, "documents")), "media"))
