@@ -1,4 +1,4 @@
-"""Near-duplicate documents: an LSH forest proposes, full shingle sets decide."""
+"""Near-duplicate documents: fixed bands of minhash signatures propose, full shingle sets decide."""
 
 from __future__ import annotations
 
@@ -14,8 +14,8 @@ from lattica.llm.common import batches, connected, joined_bytes, materialize, re
 from lattica.llm.rolling import Hashes, mix
 
 SHINGLE = 5
-#: Trees of the forest and hash values in each; a region is entered from depth 4 on: of two sets whose similarity is
-#: 0.75, 32 trees all miss with a probability of 5 in a million.
+#: Groups of signature values and values in each, of which the first 4 are a band's key, at every density: of two sets
+#: whose similarity is 0.75, 32 bands all miss with a probability of 5 in a million.
 TREES, DEPTH, ENTER = 32, 8, 4
 #: Documents of a region that are compared in one task.
 BLOCK = 512
@@ -147,8 +147,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
 
     1. One scan describes each set; rows with equal sets are one class, whose least doc_id stands for it.
-    2. In each tree of the forest, representatives sorted by signature have neighbours with a common prefix of at least
-       ENTER values; these regions, joined over all trees, hold every pair that can be linked. No pairs are made.
+    2. Representatives with the same first ENTER values of a group meet in a band, by one hash key; nothing is sorted, and
+       depth is fixed, since a deeper entry in dense regions would lose links. Bands that share rows, joined over all
+       groups, are regions, which hold the pairs that can be linked but for the misses above. No pairs are made.
     3. Each region's sets are read again, and compared in blocks. A region with more members than a block is dealt out by
        pairs of blocks, so that it meets many tasks.
     4. Links and copies give components.
