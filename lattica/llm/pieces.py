@@ -109,7 +109,8 @@ class Pieces:
         return b"".join(out).decode("utf-8", "replace")
 
     def learn(self, chunks: list[str]) -> None:
-        """Encodes chunks not yet known; the library must agree on every one of them, ids and decoding.
+        """Encodes chunks not yet known; the library must agree on the ids of those of more than one character that do not
+        start with two marks. Decoding is our own, and not compared.
 
         A chunk of one mark and a word is what the library makes of the word alone.
         """
