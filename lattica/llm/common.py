@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch: whole texts go through Python, so batches stay small.
 BATCH_ROWS = 1000
 
-_written: list[tuple[SparkSession, str]] = []
+#: Where the tables that are written now are noted down, so that who asked for them can delete them.
+_noted: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("noted", default=None)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,11 +33,14 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder of spark.checkpoint.dir. Where none is set, a temporary one in local mode; elsewhere that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         set_dir = spark.sparkContext.getCheckpointDir()
         if not set_dir:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
             set_dir = spark.sparkContext.getCheckpointDir()
         path = set_dir
@@ -43,10 +49,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/lattica-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    if (noted := _noted.get()) is not None:
+        noted.append((spark, path))
     return path
 
 
+@contextlib.contextmanager
+def noting() -> Iterator[list[tuple[SparkSession, str]]]:
+    """The list of the tables that are written within; drop() them when what was built on them has been written itself."""
+    tables: list[tuple[SparkSession, str]] = []
+    token = _noted.set(tables)
+    try:
+        yield tables
+    finally:
+        _noted.reset(token)
+
+
+def drop(tables: list[tuple[SparkSession, str]]) -> None:
+    """Deletes tables from the shared folder."""
+    while tables:
+        spark, path = tables.pop()
+        jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: lineage ends there.
 
@@ -62,15 +89,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def drop_written() -> None:
-    """Deletes all tables that materialize() wrote; only when what used them has been written."""
-    while _written:
-        spark, path = _written.pop()
-        jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
-
-
 def batches(arrow: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each holds at most so many rows, and about so many bytes or one row."""
     for b in arrow:

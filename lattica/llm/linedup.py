@@ -58,12 +58,13 @@ def recurring_lines(keyed: DataFrame, min_texts: int = MIN_TEXTS, lead: int = LE
     return out.select("key", "pos")
 
 
-def drop_recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, lead: int = LEAD, *, keep_first: bool = False) -> DataFrame:
-    """docs(doc_id, text, ...) with recurring lines taken out of text; same rows and columns, with n_lines and n_dropped.
+def drop_recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, lead: int = LEAD, *, keep_first: bool = False, counts: tuple[str, str] | None = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs(doc_id, text, ...) with recurring lines taken out of text; same rows and columns, and two counts of lines.
 
     keep_first: a template's first line (by doc_id, then place) stays, so that the copies of a text do not lose all. Blank
     lines always stay. A null text stays null, with no lines; an empty one has one. Repeated rows count as one text, and
-    all of them lose the same lines.
+    all of them lose the same lines. counts: names of the columns with the lines and the dropped lines of a text, which
+    replace columns of these names; None: no counts, and no column is replaced.
     """
     keyed = _keyed(docs)
     own = keyed.select(F.col("_lines_key").alias("key"), F.col("_lines_same").alias("same"), "doc_id", "text")
@@ -75,9 +76,9 @@ def drop_recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, lead: int
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_lines_gone")  # hashed, so long texts stay linear
     kept = F.transform(left, lambda i: F.element_at(lines, i + 1))
     text = F.when(F.col("_lines_gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))
-    out = d.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
-    out = out.withColumn("n_dropped", F.coalesce(F.size("_lines_gone"), F.lit(0)).cast("long")).withColumn("n_dropped", F.when(F.col("_lines_gone").isNull(), 0).otherwise(F.col("n_dropped")).cast("long"))
-    return out.withColumn("text", text).select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    names = [c for c in docs.columns if not counts or c not in counts]
+    more = [F.when(c.isNull(), 0).otherwise(F.size(c)).cast("long").alias(name) for name, c in zip(counts or (), (lines, F.col("_lines_gone")), strict=False)]
+    return d.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names], *more)
 
 
 def op5_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:

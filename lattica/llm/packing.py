@@ -32,7 +32,11 @@ SPACES = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 class Words:
-    """A tokenizer whose pattern never crosses white space: texts are cut there, and chunks are encoded once."""
+    """A tokenizer whose pattern never crosses white space: texts are cut there, and chunks are encoded once.
+
+    Chunks go to the tokenizer as they are, so that normalizing and matching added tokens are its own work. Only runs of
+    ASCII letters, which nothing but lower-casing changes, are put together in one text, or split from a mark after them.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,6 +45,10 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.split = regex.compile(SPACES).split
+        # A text may be cut at white space unless an added token holds some, or takes what is beside it.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(self.split(t) != [t] for t in self.added) or any(t.lstrip or t.rstrip for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens that touch white space")
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -48,8 +56,8 @@ class Words:
         self.old: dict[str, bytes] = {}
 
     def learn(self, chunks: list[str]) -> None:
-        # Letters alone are one word to the pattern, and its last id ends a word: many go through in one text.
-        alone = [c for c in chunks if c.isalpha()]
+        # ASCII letters alone are one word to the pattern, and its last id ends a word: many go through in one text.
+        alone = [c for c in chunks if c.isascii() and c.isalpha()]
         if alone:
             for i in range(0, len(alone), 400):
                 part = alone[i : i + 400]
@@ -62,7 +70,7 @@ class Words:
                 for c, e in zip(part, (4 * ends).tolist(), strict=True):
                     self.young[c] = raw[at:e]
                     at = e
-        self._one_by_one([c for c in chunks if not c.isalpha()])
+        self._one_by_one([c for c in chunks if not (c.isascii() and c.isalpha())])
 
     def _one_by_one(self, chunks: list[str]) -> None:
         for i in range(0, len(chunks), 2000):
@@ -72,14 +80,10 @@ class Words:
                 self.young[c] = struct.pack(f"<{len(ids)}I", *ids)
 
     def chunks(self, text: str) -> list[str]:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return [c for c in self.split(text) if c]
-        # Up to U+00FF the separators other than space that str.split() knows and the pattern does not are U+001C..1F.
+        # str.split() knows the same separators as the pattern but for U+001C to U+001F, which it takes as well.
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return [c for c in self.split(text) if c]
-        return text.lower().split()  # the tokenizer's own first step, one to one here
+        return text.split()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
@@ -93,10 +97,10 @@ class Words:
                     young[c] = known
                 else:
                     missing.append(c)
-        # A word with one mark after it is the word and the mark, which may be known already.
+        # ASCII letters with one of these marks after them are the word and the mark, each known or learnt by itself.
         rest, later = [], []
         for c in missing:
-            (later if len(c) > 1 and c[-1] in ".,;:" and c[-2].isalpha() else rest).append(c)
+            (later if len(c) > 1 and c[-1] in ".,;:" and c.isascii() and c[:-1].isalpha() else rest).append(c)
         words = {c[:-1] for c in later} | {c[-1] for c in later}
         self.learn(list({c for c in words if c not in young} | set(rest)))
         for c in later:
