@@ -101,6 +101,42 @@ def batches(arrow: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, size: int =
             i += n
 
 
+def whole_groups(arrow: Iterable[pa.RecordBatch], keys: int, rows: int = 2048, size: int = 16 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by their first `keys` columns, of whole numbers: tables that hold whole groups, and where each starts.
+
+    A table holds about so many rows or bytes, or one group.
+    """
+    held: list[pa.RecordBatch] = []
+    n = nbytes = 0
+
+    def out() -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        k = np.stack([t.column(i).to_numpy() for i in range(keys)])
+        return t, np.concatenate([[0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1])
+
+    for b in arrow:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)])
+        first = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
+        if held and any(held[-1].column(i)[-1].as_py() != b.column(i)[0].as_py() for i in range(keys)):
+            first = np.concatenate([[0], first])
+        at = 0
+        for c in first.tolist():
+            # Cut at the last group's end at which the table is not yet too large, or at the first after that.
+            if n + c - at >= rows or nbytes + (b.slice(at, c - at).nbytes if c > at else 0) >= size:
+                held.append(b.slice(at, c - at))
+                if n + c - at:
+                    yield out()
+                held, n, nbytes, at = [], 0, 0, c
+        if at < b.num_rows:
+            rest = b.slice(at)
+            held.append(rest)
+            n, nbytes = n + rest.num_rows, nbytes + rest.nbytes
+    if n:
+        yield out()
+
+
 def joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts of a string or binary array in one byte array, and n + 1 offsets; null is empty."""
     column = column.cast(pa.large_binary()) if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else column.cast(pa.binary())
@@ -117,9 +153,8 @@ def connected(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star rounds on the edges; each round groups only on ids, keeps the number of edges,
     and is written to the shared folder. A hub's edges are met by a join on the hub's smallest neighbour, so no group is
-    ever collected.
+    ever collected. Edges that are null at an end, or join an id to itself, are left out.
     """
-    spark = edges.sparkSession
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = materialize(both, name)
     last = None

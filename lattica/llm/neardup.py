@@ -1,24 +1,27 @@
-"""Near-duplicate documents: fixed bands of minhash signatures propose, full shingle sets decide."""
+"""Near-duplicate documents: an LSH forest of minhash signatures proposes, full shingle sets decide."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import batches, connected, joined_bytes, materialize, read, tuned
+from lattica.llm.common import batches, connected, joined_bytes, materialize, read, tuned, whole_groups
 from lattica.llm.rolling import Hashes, mix
 
 SHINGLE = 5
-#: Groups of signature values and values in each, of which the first 4 are a band's key, at every density: of two sets
-#: whose similarity is 0.75, 32 bands all miss with a probability of 5 in a million.
+#: Trees of the forest, values in a tree's label, and the shortest prefix that two labels must share. Two sets whose
+#: similarity is 0.75 share no such prefix in any tree with a probability of 5 in a million.
 TREES, DEPTH, ENTER = 32, 8, 4
-#: Documents of a region that are compared in one task.
-BLOCK = 512
+#: Neighbours in a sorted order that are compared in one task, and rows in each of the two parts of a region that are.
+CHUNK, BLOCK = 256, 512
+#: How far below the threshold the share of equal signature values may be: 4 standard deviations of 256 values.
+MARGIN = 0.11
 
 _rng = np.random.default_rng(77)
 FACTORS = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,125 +82,250 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def tree_keys(signature: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each tree's first ENTER values, which differs from tree to tree."""
-    s = signature.reshape(len(signature), TREES, DEPTH)[:, :, :ENTER].astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), s.shape[:2])
-    for d in range(ENTER):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + s[:, :, d])
-    return key.view(np.int64)
-
-
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, a, b, keys) of every row: size and two 64-bit sums that name the set, and its tree keys."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """(doc_id, n_shingles, a, b, labels) of every row: size and two 64-bit sums that name the set, and its labels.
+
+    labels: a hash of 16 bits of each signature value, tree after tree.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("labels", pa.binary())])
 
     def run(it) -> Iterator[pa.RecordBatch]:
         for b in batches(it, rows=400, size=1 << 20):
             sets = shingle_sets(b.column(1))
-            keys = tree_keys(signatures(sets))
+            short = ((signatures(sets) * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
             sizes = np.array([len(s) for s in sets], np.int64)
             names = np.array([[s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)] if len(s) else [0, 0] for s in sets], np.uint64).view(np.int64).reshape(-1, 2)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * TREES, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(np.ascontiguousarray(names[:, 0])), pa.array(np.ascontiguousarray(names[:, 1])), lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(np.ascontiguousarray(names[:, 0])), pa.array(np.ascontiguousarray(names[:, 1])), pa.array([x.tobytes() for x in short], pa.binary())], schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, a long, b long, labels binary")
+
+
+#: Rows of a forest's table: neighbours a and b, met in a chunk (key); members (a) of a region (key) of a tree; and the
+#: first and last row of a part of the order, with its set's size (b) and label.
+NEIGHBOURS, MEMBER, FIRST, LAST = range(4)
+FOREST = "kind int, part int, tree int, a long, b long, key long, label binary"
+_FOREST = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("tree", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("label", pa.binary())])
+
+
+def similar_size(x: np.ndarray, y: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether sets of these sizes can have the similarity of the threshold."""
+    return 100 * np.minimum(x, y) >= threshold * np.maximum(x, y)
+
+
+def walked(it, part: int, threshold: int) -> Iterator[pa.RecordBatch]:
+    """One part of the sorted orders, rows (tree, label, rep, size): what FOREST lists.
+
+    Neighbours are two rows next to each other in a tree's order whose labels share a prefix of ENTER values or more: how
+    deep they meet is for the density about them to say. A region is a longest run of rows that share ENTER values.
+    """
+    before, before_common, pairs, first = None, 0, 0, True
+    for b in it:
+        if not b.num_rows:
+            continue
+        label = np.frombuffer(joined_bytes(b.column(1))[0].tobytes(), np.uint8).reshape(b.num_rows, -1)
+        tree, rep, size = (b.column(i).to_numpy().astype(np.int64) for i in (0, 2, 3))
+        fresh = before is None
+        if not fresh:
+            tree, rep, size = (np.concatenate([[x], y]) for x, y in zip(before[1:], (tree, rep, size), strict=True))
+            label = np.concatenate([before[0][None], label])
+        value = label.view(np.uint16)
+        equal = value[1:] == value[:-1]
+        common = np.where(equal.all(axis=1), value.shape[1], equal.argmin(axis=1)) * (tree[1:] == tree[:-1])
+        meet = np.concatenate([[before_common >= ENTER], common >= ENTER])
+        # Of the last row it is not known yet whether the next one is near.
+        member = meet[:-1] | meet[1:]
+        if first and len(member):
+            member[0], first = True, False  # the part before may end in its region
+        near = np.flatnonzero((common >= ENTER) & similar_size(size[1:], size[:-1], threshold) & (rep[1:] != rep[:-1]))
+        key = mix(value[:, :ENTER].copy().view(np.uint64)[:, 0] * np.uint64(2 * TREES + 1) + tree.astype(np.uint64)).view(np.int64)
+        m, n = np.flatnonzero(member), len(near)
+        low, high = np.minimum(rep[near], rep[near + 1]), np.maximum(rep[near], rep[near + 1])
+        chunk = (np.int64(part) << 32) | ((pairs + np.arange(n)) // CHUNK)
+        pairs += n
+        none, k = pa.nulls(n + len(m), pa.binary()), n + len(m)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([NEIGHBOURS, MEMBER], np.int32), [n, len(m)])), pa.array(np.full(k, part, np.int32)), pa.array(np.concatenate([tree[near], tree[m]]).astype(np.int32)), pa.array(np.concatenate([low, rep[m]])), pa.array(np.concatenate([high, size[m]])), pa.array(np.concatenate([chunk, key[m]])), none], schema=_FOREST)
+        edge = lambda i, kind: pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((kind, part, int(tree[i]), int(rep[i]), int(size[i]), int(key[i]), label[i].tobytes()), _FOREST, strict=True)], schema=_FOREST)  # noqa: B023, E731
+        if fresh:
+            yield edge(0, FIRST)
+        before, before_common, last = (label[-1], tree[-1], rep[-1], size[-1]), int(common[-1]) if len(common) else before_common, edge(-1, LAST)
+    if before is not None:
+        yield last
+
+
+def forest(classes: DataFrame, threshold: int) -> DataFrame:
+    """The table of FOREST for classes(rep, n_shingles, labels).
+
+    Every tree's labels are sorted; the orders of all trees are one order, dealt out by range, so that a region of any size
+    lies in as many parts as it fills. Rows next to each other across two parts are joined afterwards: two rows of a part.
+    """
+    cut = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("labels", 2 * DEPTH * t + 1, F.lit(2 * DEPTH)))
+    rows = classes.select(F.posexplode(cut).alias("tree", "label"), "rep", "n_shingles")
+    n = max(8, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = rows.repartitionByRange(n, "tree", "label", "rep").sortWithinPartitions("tree", "label", "rep")
+
+    def walk(it) -> Iterator[pa.RecordBatch]:
+        yield from walked(it, TaskContext.get().partitionId(), threshold)
+
+    found = materialize(order.mapInArrow(walk, FOREST), "forest")
+
+    def stitch(it) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in it for r in b.to_pylist()), key=lambda r: (r["part"], r["kind"]))
+        out = []
+        for x, y in zip(rows[1::2], rows[2::2], strict=False):
+            part = pa.RecordBatch.from_arrays([pa.array([r[c] for r in (x, y)], t) for c, t in (("tree", pa.int32()), ("label", pa.binary()), ("a", pa.int64()), ("b", pa.int64()))], names=list("abcd"))
+            out += [b.filter(pa.compute.equal(b.column(0), NEIGHBOURS)) for b in walked([part], -1 - x["part"], threshold) if b.num_rows]
+        # The last row of a part may be in a region.
+        last = [r | {"kind": MEMBER, "label": None} for r in rows if r["kind"] == LAST]
+        yield pa.RecordBatch.from_pylist(last, schema=_FOREST)
+        yield from out
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, a long, b long, keys array<long>")
+    return found.unionByName(found.where(F.col("kind") >= FIRST).repartition(1).mapInArrow(stitch, FOREST))
 
 
-def links(ids: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray | None, threshold: int) -> list[tuple[int, int]]:
-    """Links that join all linked documents of a block: pairs with 100 * shared >= threshold * united shingles.
+def verified(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) of linked nodes for pairs(tile, a, b, x, y): ids a and b, which are in nodes x and y.
 
-    Pairs are taken in order of falling agreement of their signatures, from well below the threshold on (0.15 under it,
-    over 5 standard deviations); pairs that earlier links join already are not looked at again. side: only pairs of rows
-    on different sides count.
+    A link: 100 * shared shingles >= threshold * united shingles. Sets are made once more from the texts and sent to each
+    tile that needs them; in a tile, pairs whose nodes are joined already are skipped, so what returns joins all that is
+    linked, in a star for each tile's groups. Where rows share an id, any of their texts may be linked.
     """
-    n, k = len(ids), sigs.shape[1]
-    sizes = np.array([len(s) for s in sets])
-    parent = list(range(n))
+    pairs = materialize(pairs, "pairs")
+    wanted = pairs.select("tile", F.explode(F.array("a", "b")).alias("id")).distinct()
+    schema = pa.schema([("id", pa.int64()), ("set", pa.binary())])
+
+    def describe(it) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, rows=400, size=1 << 20):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in shingle_sets(b.column(1))], pa.binary())], schema=schema)
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(describe, "id long, set binary")
+    none = F.lit(None)
+    rows = wanted.join(sets, "id").select("tile", F.lit(0).alias("kind"), F.col("id").alias("a"), none.cast("long").alias("b"), none.cast("long").alias("x"), none.cast("long").alias("y"), "set")
+    rows = rows.unionByName(pairs.select("tile", F.lit(1).alias("kind"), "a", "b", "x", "y", none.cast("binary").alias("set")))
+
+    def decide(it) -> Iterator[pa.RecordBatch]:
+        for t, starts in whole_groups(it, 1):
+            kind = t.column(1).to_numpy()
+            out: list[tuple[int, int]] = []
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+                k = i + int((kind[i:j] == 0).sum())
+                known: dict[int, list[np.ndarray]] = {}
+                for d, s in zip(t.column(2).slice(i, k - i).to_pylist(), t.column(6).slice(i, k - i).to_pylist(), strict=True):
+                    if all(r.tobytes() != s for r in known.setdefault(d, [])):  # repeated rows
+                        known[d].append(np.frombuffer(s, np.uint64))
+                out += linked(zip(*(t.column(c).slice(k, j - k).to_pylist() for c in (2, 3, 4, 5)), strict=True), known, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], []))], names=["a", "b"])
+
+    return rows.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(decide, "a long, b long")
+
+
+def linked(pairs: Iterable[tuple[int, int, int, int]], sets: dict[int, list[np.ndarray]], threshold: int) -> list[tuple[int, int]]:
+    """Stars of the nodes that linked pairs (a, b, x, y) join: each node with the smallest one of its group."""
+    parent: dict[int, int] = {}
 
     def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+        while (p := parent.setdefault(i, i)) != i:
+            parent[i] = parent[p]
+            i = p
         return i
 
-    pairs = []
-    for i in range(n - 1):
-        same = (sigs[i + 1 :] == sigs[i]).sum(axis=1)
-        low, high = np.minimum(sizes[i + 1 :], sizes[i]), np.maximum(sizes[i + 1 :], sizes[i])
-        good = (same >= (threshold / 100 - 0.15) * k) & (100 * low >= threshold * high)
-        if side is not None:
-            good &= side[i + 1 :] != side[i]
-        j = np.flatnonzero(good)
-        pairs.append(np.stack([np.full(len(j), i), j + i + 1, same[j]], axis=1))
-    found = []
-    if pairs:
-        p = np.concatenate(pairs)
-        for i, j, _ in p[np.argsort(-p[:, 2], kind="stable")].tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * shared >= threshold * (sizes[i] + sizes[j] - shared):
-                    parent[a] = b
-                    found.append((int(ids[i]), int(ids[j])))
-    return found
+    for a, b, x, y in pairs:
+        x, y = root(x), root(y)
+        if x != y:
+            for s in sets.get(a, ()):
+                for r in sets.get(b, ()):
+                    if 100 * min(len(s), len(r)) >= threshold * max(len(s), len(r)):
+                        shared = len(np.intersect1d(s, r, assume_unique=True))
+                        if 100 * shared >= threshold * (len(s) + len(r) - shared):
+                            parent[max(root(x), root(y))] = min(root(x), root(y))
+    return [(i, root(i)) for i in parent if root(i) != i]
+
+
+def crossing(it, threshold: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (tile, a, b, x, y) that may be linked, from tiles of (tile, tree, rep, size, node, block, main, own, labels).
+
+    A tile has two blocks, of which only pairs across count, or one block against its own rows.
+
+    A pair: rows of different nodes, not both of the region's main node, whose labels agree in about as many values as
+    linked ones do, and that share a region in no tree before this one, so that it is met once.
+    """
+    for t, starts in whole_groups(it, 1):
+        tile, tree, rep, size, node, block, main, own = (t.column(i).to_numpy() for i in range(8))
+        value = np.frombuffer(joined_bytes(t.column(8).combine_chunks())[0].tobytes(), np.uint16).reshape(t.num_rows, TREES * DEPTH)
+        enter = value.reshape(-1, TREES, DEPTH)[:, :, :ENTER].copy().view(np.uint64)[:, :, 0]
+        out: list[np.ndarray] = []
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+            for s in (np.flatnonzero(main[i:j] == 0) + i).tolist():
+                o = np.arange(i, j)
+                o = o[(node[o] != node[s]) & similar_size(size[o], size[s], threshold) & (rep[o] != rep[s])]
+                o = o[o > s] if own[s] else o[(main[o] == 1) | (block[o] < block[s])]
+                if len(o):
+                    o = o[(enter[o] == enter[s]).argmax(axis=1) == tree[s]]
+                    o = o[(value[o] == value[s]).mean(axis=1) >= threshold / 100 - MARGIN]
+                    if len(o):
+                        out.append(np.stack([np.full(len(o), tile[s]), np.full(len(o), rep[s]), rep[o], np.full(len(o), node[s]), node[o]]))
+        rows = np.concatenate(out, axis=1) if out else np.zeros((5, 0), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r)) for r in rows], names=["tile", "a", "b", "x", "y"])
+
+
+def open_regions(members: DataFrame, nodes: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Pairs still to be verified, as verified() takes them: of members(tree, key, rep) of a region in different nodes.
+
+    Regions that are all one node are done. In the others, the main node's rows are only set against the rest, and the rest
+    against each other, in pairs of blocks, so that a region of any size meets many tasks.
+    """
+    placed = members.join(nodes.select(F.col("id").alias("rep"), "component"), "rep", "left").select("tree", "key", "rep", F.coalesce("component", "rep").alias("node"))
+    placed = materialize(placed.distinct(), "placed")
+    sizes = placed.groupBy("tree", "key", "node").agg(F.count("*").alias("c")).groupBy("tree", "key").agg(F.max(F.struct("c", "node")).alias("m"), F.sum("c").alias("n"))
+    left = materialize(sizes.where("n > m.c").select("tree", "key", F.col("m.node").alias("main"), F.ceil(F.col("m.c") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("m.c")) / BLOCK).cast("int").alias("others")), "open-regions")
+    r = placed.join(left, ["tree", "key"]).withColumn("is_main", (F.col("node") == F.col("main")).cast("int"))
+    own = F.when(F.col("is_main") == 1, F.pmod(F.xxhash64("rep"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("rep"), "others")).cast("int")
+    against = F.explode(F.when(F.col("is_main") == 1, F.sequence("mains", F.col("mains") + F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("mains") + F.col("others") - 1)))
+    r = r.withColumn("block", own).withColumn("against", against)
+    r = r.select(F.xxhash64("tree", "key", F.least("block", "against"), F.greatest("block", "against")).alias("tile"), "tree", "rep", "node", "block", "is_main", (F.col("block") == F.col("against")).cast("int").alias("own"))
+    r = r.join(classes.select("rep", "n_shingles", "labels"), "rep").select("tile", "tree", "rep", "n_shingles", "node", "block", "is_main", "own", "labels")
+
+    def run(it) -> Iterator[pa.RecordBatch]:
+        yield from crossing(it, threshold)
+
+    return r.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "tile long, a long, b long, x long, y long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
 
     1. One scan describes each set; rows with equal sets are one class, whose least doc_id stands for it.
-    2. Representatives with the same first ENTER values of a group meet in a band, by one hash key; nothing is sorted, and
-       depth is fixed, since a deeper entry in dense regions would lose links. Bands that share rows, joined over all
-       groups, are regions, which hold the pairs that can be linked but for the misses above. No pairs are made.
-    3. Each region's sets are read again, and compared in blocks. A region with more members than a block is dealt out by
-       pairs of blocks, so that it meets many tasks.
-    4. Links and copies give components.
+    2. A forest of sorted signature orders: each class is a row in every tree, and neighbours with a common prefix are the
+       candidates, at whatever depth they meet; a row has two in a tree at most. They are verified on full sets, and
+       links give nodes.
+    3. Regions, runs of rows with a common prefix of the least depth, that are one node by now are done. In those that are
+       not, rows of different nodes are set against each other in blocks by their signatures, and what may be linked is
+       verified, so that nothing rests on who stands next to whom.
 
     Texts without words are linked with nothing. Null doc_ids are linked with nothing and have no component, and are kept.
-    Rows that share a doc_id are one node of the graph. Other columns are ignored.
+    Rows that share a doc_id are one node of the graph; repeated rows are one class. An empty table gives an empty result.
+    Other columns are ignored.
     """
-    spark = docs.sparkSession
     own = docs.select("doc_id", "text")
-    sigs = materialize(described(own), "signatures")
-    real = sigs.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = materialize(real.groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys")), "classes")
-    keys = classes.select("rep", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
-    near = materialize(keys.join(materialize(shared, "shared-keys"), "key").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct(), "near")
-    regions = connected(near, "regions")
-    sized = materialize(regions.join(regions.groupBy("component").agg(F.count("*").alias("size")), "component"), "sized")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = sized.withColumn("blocks", blocks).withColumn("mine", mine)
-
-    schema = pa.schema([("doc_id", pa.int64()), ("set", pa.binary()), ("signature", pa.binary())])
-
-    def describe(it) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, rows=400, size=1 << 20):
-            sets = shingle_sets(b.column(1))
-            s = signatures(sets)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in s], pa.binary())], schema=schema)
-
-    chosen = own.join(sized.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    full = chosen.mapInArrow(describe, "doc_id long, set binary, signature binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = full.join(dealt, F.col("doc_id") == F.col("id")).select("doc_id", "set", "signature", "component", "mine", other.alias("other"))
-    rows = rows.select("doc_id", "set", "signature", "component", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-
-    def compare(d: pd.DataFrame) -> pd.DataFrame:
-        cross = d["i"].iloc[0] != d["j"].iloc[0]
-        sets = [np.frombuffer(x, np.uint64) for x in d["set"]]
-        s = np.frombuffer(b"".join(d["signature"]), np.uint32).reshape(len(d), -1)
-        found = links(d["doc_id"].to_numpy(), sets, s, d["mine"].to_numpy() if cross else None, threshold)
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    linked = rows.groupBy("component", "i", "j").applyInPandas(compare, "a long, b long")
-    copies = real.join(classes.select("n_shingles", "a", "b", "rep"), ["n_shingles", "a", "b"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    groups = materialize(connected(linked.unionByName(copies), "groups"), "groups")
-    out = sigs.select("doc_id", "n_shingles").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    own_id = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", own_id.alias("component_id"), F.coalesce(own_id == F.col("doc_id"), F.lit(True)).alias("kept"))
+    all_rows = materialize(described(own), "signatures")
+    real = all_rows.where("doc_id IS NOT NULL AND n_shingles > 0")
+    classes = materialize(real.groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("rep"), F.any_value("labels").alias("labels")), "classes")
+    rows = forest(classes, threshold)
+    near = rows.where(F.col("kind") == NEIGHBOURS).groupBy("a", "b").agg(F.min("key").alias("tile")).select("tile", "a", "b", F.col("a").alias("x"), F.col("b").alias("y"))
+    named = materialize(real.join(classes.select("n_shingles", "a", "b", "rep"), ["n_shingles", "a", "b"]).select("doc_id", "n_shingles", "rep"), "named")
+    # Texts that share an id are one node.
+    twice = named.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    same = named.join(twice, "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    nodes = materialize(connected(verified(near, own, threshold).unionByName(same), "nodes"), "nodes")
+    members = rows.where(F.col("kind") == MEMBER).select("tree", "key", F.col("a").alias("rep"))
+    late = connected(verified(open_regions(members, nodes, classes, threshold), own, threshold), "late")
+    late = materialize(late.select(F.col("id").alias("component"), F.col("component").alias("last")), "late")
+    groups = nodes.join(late, "component", "left").select("id", F.coalesce("last", "component").alias("component"))
+    alone = late.join(nodes.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("id"), F.col("last").alias("component"))
+    groups = materialize(groups.unionByName(alone), "groups")
+    out = named.join(groups, F.col("rep") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    out = out.unionByName(all_rows.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,11 +180,54 @@ def test_near_duplicates(docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
-def test_links_across_blocks():
-    sets = [np.sort(neardup.mix(np.arange(i + 1, i + 101, dtype=np.uint64))) for i in range(0, 40, 5)]
-    sig = neardup.signatures(sets)
-    found = neardup.links(np.arange(8), sets, sig, np.array([0, 1] * 4), 75)
-    assert all(a % 2 != b % 2 for a, b in found) and len(found) == 7
+def test_tiles_meet_each_pair_once():
+    """A region of near sets, dealt out in blocks, gives each pair of different nodes once, but for those of the main node."""
+    n = 40
+    sets = [np.sort(neardup.mix(np.arange(i + 1, i + 101, dtype=np.uint64))) for i in range(n)]
+    short = ((neardup.signatures(sets) * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
+    enter = short.reshape(n, neardup.TREES, neardup.DEPTH)[:, :, : neardup.ENTER]
+    main = np.array([i % 3 == 0 for i in range(n)])
+    block = np.where(main, 0, 1 + np.arange(n) % 2)
+    seen = collections.Counter()
+    schema = pa.schema([("tile", pa.int64()), ("tree", pa.int32()), ("rep", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("block", pa.int32()), ("main", pa.int32()), ("own", pa.int32()), ("labels", pa.binary())])
+    rows, tile = [], 0
+    for tree in range(neardup.TREES):
+        regions = collections.defaultdict(list)
+        for i in range(n):
+            regions[enter[i, tree].tobytes()].append(i)
+        for members in regions.values():
+            for x, y in ((0, 1), (0, 2), (1, 1), (1, 2), (2, 2)):
+                tile += 1
+                rows += [(tile, tree, i, 100, 0 if main[i] else i + 1, int(block[i]), int(main[i]), int(x == y), short[i].tobytes()) for i in members if block[i] in (x, y)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    for b in neardup.crossing([batch], 75):
+        for _, i, j, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            seen[min(i, j), max(i, j)] += 1
+            assert x == (0 if main[i] else i + 1) and y == (0 if main[j] else j + 1)
+    assert set(seen.values()) == {1} and all(not (main[i] and main[j]) for i, j in seen)
+    assert {(i, j) for i in range(n) for j in range(i + 1, min(n, i + 9)) if not (main[i] and main[j])} <= set(seen)
+
+
+def test_parts_of_a_sorted_order():
+    """However an order is dealt out, neighbours within parts and across their ends are those of the whole."""
+    rng = np.random.default_rng(4)
+    rows = sorted((int(t), rng.integers(0, 2, 8).astype(np.uint16).tobytes(), int(i), 10) for i, t in enumerate(rng.integers(0, 3, 200)))
+
+    def walk(part, p):
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), (pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=list("abcd"))
+        return [r for b in neardup.walked([batch.slice(0, 3), batch.slice(3)], p, 75) for r in b.to_pylist()]
+
+    whole = walk(rows, 0)
+    near = lambda rs: {(r["a"], r["b"]) for r in rs if r["kind"] == neardup.NEIGHBOURS}
+    assert near(whole) == {(min(x[2], y[2]), max(x[2], y[2])) for x, y in zip(rows, rows[1:], strict=False) if x[0] == y[0] and x[1][:8] == y[1][:8]}
+    cuts = [0, 1, 2, 40, 41, 130, 200]
+    parts = [walk(rows[i:j], p) for p, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    across = {(min(rows[c - 1][2], rows[c][2]), max(rows[c - 1][2], rows[c][2])) for c in cuts[1:-1]}
+    assert near(whole) - across == set().union(*map(near, parts))
+    edges = [r for p in parts for r in p if r["kind"] >= neardup.FIRST]
+    assert [r["a"] for r in sorted(edges, key=lambda r: (r["part"], r["kind"]))] == [rows[i][2] for x, y in zip(cuts, cuts[1:], strict=False) for i in (x, y - 1)]
+    member = lambda rs: {(r["a"], r["tree"]) for r in rs if r["kind"] in (neardup.MEMBER, neardup.LAST)}
+    assert member(whole) <= set().union(*map(member, parts))
 
 
 @pytest.mark.parametrize("crowd", [1, 8192])
