@@ -41,22 +41,39 @@ def empty(docs):
 
 
 def test_loser_tree():
-    runs = [sorted(np.random.default_rng(i).integers(0, 50, i % 4 * 7).tolist()) for i in range(9)]
-    assert list(warc.loser_tree_merge(runs, lambda x: x)) == sorted(sum(runs, [])) and list(warc.loser_tree_merge([], lambda x: x)) == []
+    for k in (1, 2, 9, 16):
+        runs = [sorted(np.random.default_rng(i).integers(0, 50, i % 4 * 7).tolist()) for i in range(k)]
+        assert list(warc.loser_tree_merge([iter(r) for r in runs], lambda x: x)) == sorted(sum(runs, []))
+    assert list(warc.loser_tree_merge([], lambda x: x)) == []
 
 
-def test_warc(spark, tmp_path):
+@pytest.mark.parametrize("fan_in", [2, 1024])
+def test_warc(spark, tmp_path, fan_in):
     big = "<p>" + "x" * 200 + "\r\n\r\n"
-    rows = [(3, "http://b.org/x?y=1", big), (1, "http://www.a.org/", big), (2, None, None), (4, "bad url\n", "é"), (5, "http://a.org/", ""), (None, "http://a.org/", big), (1, "http://www.a.org/", big), (6, "http://a.org/", "é")]
+    rows = [(3, "http://b.org/x?y=1", big), (1, "http://www.a.org/", big), (2, None, None), (4, "bad url\n", "é"), (5, "http://a.org/", ""), (None, "http://a.org/", big), (1, "http://www.a.org/", big), (6, "http://a.org/", "é"), (7, "http://c.org/", "y" * 300_000)]
+    rows += [(i, "http://hot.org/", f"page {i % 50}" * 20) for i in range(10, 700)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(0))
-    warc.write_archives(pages, str(tmp_path / "w"), records_per_file=3)
-    got = warc.merge_indexes(warc.read_archives(spark, str(tmp_path / "w"))).collect()
-    assert len(got) == len(rows) and [(r.urlkey, r.captured) for r in got] == sorted((r.urlkey, r.captured) for r in got)
+    archives = warc.write_archives(pages, f"file://{tmp_path}/w", records_per_file=100, file_bytes=5000)
+    assert archives.where("records > 100").count() == 0 and archives.agg(F.sum("records")).first()[0] == len(rows)
+    got = warc.merge_indexes(warc.index_archives(archives, f"file://{tmp_path}/r"), f"file://{tmp_path}/r", fan_in).collect()
+    keys = [warc._sort_key(tuple(r)) for r in got]
+    assert len(got) == len(rows) and keys == sorted(keys)
     by = {r.page_id: r for r in got}
     assert by[3].record_type == "revisit" and by[3].refers_to == 1 and by[3].payload_digest == hashlib.sha256(big.encode()).hexdigest()
     assert by[1].record_type == by[6].record_type == by[2].record_type == "response" and by[2].payload_bytes == 0 and by[4].payload_bytes == 2
-    warc.write_archives(pages.where("false"), str(tmp_path / "e"))
-    assert warc.merge_indexes(warc.read_archives(spark, str(tmp_path / "e"))).count() == 0
+    assert by[65].refers_to == 15 and by[7].payload_bytes == 300_000
+    for i in (1, 7, 65, 699):  # a record is read from its offset, and nothing else
+        headers, block = warc.read_record(by[i].archive, by[i].record_offset, by[i].record_length)
+        assert headers["warc-record-id"] == f"<urn:page:{i}>" and headers["warc-type"] == by[i].record_type
+        assert i != 7 or block.endswith(b"\r\n\r\n" + b"y" * 300_000)
+    none = warc.write_archives(pages.where("false"), f"file://{tmp_path}/e")
+    assert warc.merge_indexes(warc.index_archives(none, f"file://{tmp_path}/f"), f"file://{tmp_path}/f").count() == 0
+    name = by[1].archive.removeprefix("file://")
+    content = open(name, "rb").read()
+    with open(name, "wb") as f:
+        f.write(content[:-6])
+    with pytest.raises(Exception, match="does not end"):
+        warc.index_archives(archives, f"file://{tmp_path}/g")
 
 
 def test_top_k(spark):
@@ -74,6 +91,24 @@ def test_top_k(spark):
     assert topk.top_k_search(d.where("false"), d).count() == 0
 
 
+def test_top_k_ties_and_pruning(spark):
+    """Equal scores go to smaller ids, repeated ids count each; on clustered rows most are not scored."""
+    same = spark.createDataFrame([(i // 2, [1.0, 1.0]) for i in range(50)], "vec_id long, embedding array<float>").withColumn("lead", F.lit("x"))
+    d = topk.quantized(same)
+    got = topk.top_k_search(d.where("vec_id % 20 = 0").distinct(), d, 5, rows=8, query_rows=4).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(q, i + 1, v, 8192) for q in (0, 20) for i, v in enumerate([1, 1, 2, 2, 3] if q == 0 else [0, 0, 1, 1, 2])]
+    rng = np.random.default_rng(0)
+    centres = rng.standard_normal((20, 32))
+    x = centres[rng.integers(0, 20, 1500)] + 0.1 * rng.standard_normal((1500, 32))
+    d = topk.quantized(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")).cache()
+    q = d.where("vec_id % 20 = 0")
+    pairs, scored = topk.top_k_search(q, d, 5, rows=100, query_rows=30, stats=True).agg(F.sum("pairs"), F.sum("scored")).first()
+    assert scored < 0.5 * 75 * 1500 and scored <= pairs
+    m = np.floor(64 * x).astype(int)
+    want = {(i, r + 1, j, int(m[i] @ m[j])) for i in range(0, 1500, 20) for r, j in enumerate(sorted((j for j in range(1500) if j != i), key=lambda j: (-int(m[i] @ m[j]), j))[:5])}  # noqa: B023
+    assert {tuple(r) for r in topk.top_k_search(q, d, 5, rows=100, query_rows=30).collect()} == want
+
+
 def test_flac(spark, docs, empty):
     data = [b"", b"a", b"hello " * 900, bytes(5000), np.random.default_rng(0).integers(0, 256, 3000).astype(np.uint8).tobytes(), (b"\0" * 900 + b"\xff" * 100) * 4]
     coded = flac.encode(data)
