@@ -1,11 +1,11 @@
-"""Repeated passages of a corpus: prefix-free parsing, and the suffix order of phrases cut at the passage length.
+"""Repeated passages of a corpus: prefix-free parsing, with suffix arrays of dictionary and parse cut at the passage length.
 
 Triggers are places where a rolling hash over half a passage is the least of its neighbours, so that every string of the
-passage length has one trigger that depends on nothing but the string. The text between triggers is a phrase; a string
-is a suffix of a phrase, up to its trigger, and a prefix of what follows. A trigger that occurs once settles its phrase,
-as does one that always stands in the same text; for the others, distinct phrases are sorted by what precedes the
-trigger (the order of dictionary suffixes) and by what follows (the order of the parse), and neighbours' common lengths
-in the two orders rank every string: two are equal where both ranks are.
+passage length has one trigger that depends on nothing but the string. The text about a trigger is a phrase: its head, from
+the first string that has the trigger to the trigger's end, is a word of the dictionary; its tail, what follows in the parse
+as far as a string reaches. A string is a suffix of a head and a prefix of a tail. Dictionary suffixes are ranked by a suffix
+array, tails by their order with common lengths, and both together put all strings in the order of the corpus, where equal
+ones are neighbours. Equal strings have equal triggers, so the arrays are built for whole triggers at a time, in many tasks.
 """
 
 from __future__ import annotations
@@ -15,16 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import batches, joined_bytes, materialize, read, tuned
+from lattica.llm.common import batches, joined_bytes, materialize, read, tuned, whole_groups
 from lattica.llm.rolling import Hashes, mix
 
 LENGTH = 200
-PHRASES = "key long, copy long, trigger long, phrase long, low int, at int, high int"
-#: Distinct phrases of one trigger that are compared in one task; beyond, their strings are counted one by one.
-CROWD = 8192
+PHRASES = "key long, copy long, trigger long, phrase long, again long, low long, at long, high long, n long"
+#: Distinct phrases of a trigger whose strings are ordered in one task; of a busier trigger, by BANDS of the strings' places,
+#: each with the bytes that the band's strings share in its name.
+HOT, BANDS = 1024, 10
 #: Bits for a place within a segment of a text's hashes.
 PLACE_BITS = 25
 
@@ -95,178 +97,267 @@ def triggers(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     return np.searchsorted(at, start, side="right") - 1, start, end, trigger, h[trigger], phrase
 
 
+def merged(text: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of each text, sorted by text and first byte, with those joined that touch or overlap."""
+    if not len(text):
+        return text, first, last
+    reach = np.maximum.accumulate(last + text * (np.int64(1) << 40)) - text * (np.int64(1) << 40)
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (first[1:] > reach[:-1])])
+    at = np.flatnonzero(new)
+    return text[at], first[at], np.maximum.reduceat(last, at)
+
+
 def phrases(docs: DataFrame, length: int) -> DataFrame:
-    """Every phrase of every text: its trigger's and its own hash, and the places of its strings and trigger in the text."""
-    schema = pa.schema([("key", pa.int64()), ("copy", pa.int64()), ("trigger", pa.int64()), ("phrase", pa.int64()), ("low", pa.int32()), ("at", pa.int32()), ("high", pa.int32())])
+    """The distinct phrases of every text: hashes of trigger and phrase (two of them), places of its strings and trigger, and
+    n, 1 or 2 for once or more often in the text. Also the runs (low to high, without a trigger) of phrases that stand in
+    their text more than once, so that text of much repetition has few rows.
+    """
+    schema = pa.schema([(f.split()[0], pa.int64()) for f in PHRASES.split(", ")])
 
     def run(it) -> Iterator[pa.RecordBatch]:
         for b in batches(it, size=1 << 20):
             data, at = joined_bytes(b.column(2))
             text, start, end, trigger, h, p = triggers(data, at, length)
-            off = at[text] if len(text) else text
-            keys = [b.column(i).to_numpy()[text] for i in range(2)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(h.view(np.int64)), pa.array(p.view(np.int64)), pa.array((start - off).astype(np.int32)), pa.array((trigger - off).astype(np.int32)), pa.array((end - off).astype(np.int32))], schema=schema)
+            if not len(text):
+                continue
+            raw = memoryview(data.tobytes())
+            again = np.array([xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(start.tolist(), (end + length).tolist(), strict=True)], np.uint64)
+            name = mix(p + again * np.uint64(0x9E3779B97F4A7C15)) ^ mix(h) ^ mix(text.astype(np.uint64))
+            _, first, back, count = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+            off = at[text]
+            sure = np.flatnonzero(count[back] > 1)
+            t, low, high = merged(text[sure], (start - off)[sure], (end - off)[sure] + length)
+            keys = [b.column(i).to_numpy() for i in range(2)]
+            none = np.zeros(len(t), np.int64)
+            both = lambda x, y: np.concatenate([x, y])
+            where = text[first]
+            columns = [both(keys[0][where], keys[0][t]), both(keys[1][where], keys[1][t]), both(h[first].view(np.int64), none), both(p[first].view(np.int64), none), both(again[first].view(np.int64), none), both((start - off)[first], low), both((trigger - off)[first], none), both((end - off)[first], high), both(np.minimum(count, 2), none)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     return docs.select("key", "copy", "text").mapInArrow(run, PHRASES)
 
 
-def equal_strings(group: np.ndarray, before: np.ndarray, behind: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Which strings of each phrase are also strings of another: [phrase, distance from string start to trigger].
+def suffix_ranks(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of all suffixes of the words, put one after the other: ranks in lexicographic order, equal for equal suffixes only, and
+    where each word starts.
 
-    group: the trigger's number; before: the bytes before it, nearest first; behind: the bytes from its end on; low, high:
-    least and greatest distance. Only distances between them are strings.
+    Prefix doubling: a rank of so many symbols and that of the symbols after them make one of twice as many; a word's end is
+    a symbol below all bytes.
     """
-    n, width = before.shape
-    total = behind.shape[1]
-    equal = np.zeros((n, width + 1), bool)
-
-    def order(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows in lexicographic order within their groups, and the common length of each with the one before (-1: none)."""
-        words = np.zeros((n, -(-m.shape[1] // 8) * 8), np.uint8)
-        words[:, : m.shape[1]] = m
-        words = words.view(">u8").astype(np.uint64)
-        at = np.lexsort([*words.T[::-1], group])
-        s = m[at]
-        differ = s[1:] != s[:-1]
-        common = np.where(differ.any(axis=1), differ.argmax(axis=1), m.shape[1])
-        common = np.where(group[at][1:] == group[at][:-1], common, -1)
-        return at, np.concatenate([[-1], common])
-
-    dictionary, shared_before = order(before)
-    parse, shared_behind = order(behind)
-    left, right = np.empty(n, np.int64), np.empty(n, np.int64)
-    for d in range(width + 1):
-        have = (low <= d) & (d <= high)
-        if have.sum() < 2:
-            continue
-        left[dictionary] = np.cumsum(shared_before < d)
-        right[parse] = np.cumsum(shared_behind < total - d)
-        key = (left * (n + 1) + right)[have]
-        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
-        equal[np.flatnonzero(have), d] = count[back] > 1
-    return equal
+    sizes = np.array([len(w) for w in words], np.int64)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    symbols = np.zeros(int((sizes + 1).sum()), np.uint64)
+    inside = np.ones(len(symbols), bool)
+    inside[starts + sizes] = False
+    symbols[inside] = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64) + np.uint64(1)
+    left = np.repeat(starts + sizes, sizes + 1) - np.arange(len(symbols))  # symbols to the word's end
+    key, width = np.zeros(len(symbols), np.uint64), 7
+    for j in range(width):  # seven symbols of nine bits
+        here = np.concatenate([symbols[j:], np.zeros(j, np.uint64)])
+        key = (key << np.uint64(9)) | np.where(left >= j, here, np.uint64(0))
+    rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+    while width <= int(sizes.max(initial=0)):
+        after = np.where(left >= width, np.concatenate([rank[width:], np.zeros(width, np.uint64)]) + np.uint64(1), np.uint64(0))
+        rank = np.unique((rank << np.uint64(32)) | after, return_inverse=True)[1].astype(np.uint64)
+        width *= 2
+    return rank.astype(np.int64), starts
+
+
+def prefix_order(words: list[bytes], width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each word's place in lexicographic order, and tables of the least common length of 2**k neighbours in it from a place on."""
+    m = np.zeros((len(words), -(-width // 8) * 8), np.uint8)
+    sizes = np.array([len(w) for w in words])
+    m[np.arange(m.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+    value = m.view(">u8").astype(np.uint64)
+    order = np.lexsort(value.T[::-1])
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    s = m[order]
+    differ = s[1:] != s[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), m.shape[1])
+    tables = [common]  # common[i]: of places i and i + 1
+    while (step := 1 << (len(tables) - 1)) * 2 <= len(common):
+        tables.append(np.minimum(tables[-1][: len(tables[-1]) - step], tables[-1][step:]))
+    return place, tables
+
+
+def common_length(tables: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The common length of the words at two places of the order, low below high."""
+    k = np.frexp((high - low).astype(np.float64))[1] - 1
+    out = np.empty(len(low), np.int64)
+    for j in np.unique(k):
+        w = k == j
+        out[w] = np.minimum(tables[j][low[w]], tables[j][high[w] - (1 << int(j))])
+    return out
+
+
+def equal_strings(texts: list[bytes], front: np.ndarray, back: np.ndarray, length: int) -> np.ndarray:
+    """Which strings of distinct phrases are also strings of another, for one phrase after the other, from its first string on.
+
+    texts: the bytes of a phrase's strings; front, back: how far before the trigger the first and the last string start.
+    """
+    half = length // 2
+    heads, tails = {}, {}
+    head = np.array([heads.setdefault(t[: f + half], len(heads)) for t, f in zip(texts, front.tolist(), strict=True)])
+    tail = np.array([tails.setdefault(t[f + half :], len(tails)) for t, f in zip(texts, front.tolist(), strict=True)])
+    rank, starts = suffix_ranks(list(heads))
+    place, tables = prefix_order(list(tails), length - half)
+    count = front - back + 1
+    row = np.repeat(np.arange(len(texts)), count)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    # The order of the corpus: by the dictionary's suffix, then by the parse after it.
+    suffix, after = rank[starts[head[row]] + nth], place[tail[row]]
+    order = np.argsort(suffix * len(tails) + after, kind="stable")
+    x, y = order[:-1], order[1:]
+    near = np.flatnonzero(suffix[x] == suffix[y])
+    x, y = x[near], y[near]
+    shared = np.full(len(x), length, np.int64)
+    other = after[x] != after[y]
+    shared[other] = common_length(tables, after[x][other], after[y][other])
+    twice = shared >= length - half - (front[row[x]] - nth[x])
+    out = np.zeros(len(row), bool)
+    out[x[twice]] = out[y[twice]] = True
+    return out
+
+
+CONTEXT = "shard long, trigger long, phrase long, again long, base int, front int, back int, bytes binary"
+_CONTEXT = pa.schema([("shard", pa.int64()), ("trigger", pa.int64()), ("phrase", pa.int64()), ("again", pa.int64()), ("base", pa.int32()), ("front", pa.int32()), ("back", pa.int32()), ("bytes", pa.binary())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(schema), schema, strict=True)], schema=schema)
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """For each wanted phrase the bytes of its strings: (trigger, phrase, low, at, high, bytes)."""
-    lists = wanted.groupBy("key", "copy").agg(F.collect_list(F.struct("trigger", "phrase", "low", "at", "high")).alias("all"))  # no more than a text has
-
-    schema = pa.schema([("trigger", pa.int64()), ("phrase", pa.int64()), ("front", pa.int32()), ("back", pa.int32()), ("bytes", pa.binary())])
+    """For each wanted phrase the bytes of its strings (CONTEXT); its trigger is its shard."""
+    lists = wanted.groupBy("key", "copy").agg(F.collect_list(F.struct("trigger", "phrase", "again", "low", "at", "high")).alias("all"))  # no more than a text has
 
     def run(it) -> Iterator[pa.RecordBatch]:
         for b in batches(it, rows=200, size=2 << 20):
-            out: list[list] = [[], [], [], [], []]
+            out = []
             for t, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 t = t.encode()
                 for x in w:
-                    for o, v in zip(out, (x["trigger"], x["phrase"], x["at"] - x["low"], x["at"] - x["high"], t[x["low"] : x["high"] + length]), strict=True):
-                        o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, schema, strict=True)], schema=schema)
+                    out.append((x["trigger"], x["trigger"], x["phrase"], x["again"], 0, x["at"] - x["low"], x["at"] - x["high"], t[x["low"] : x["high"] + length]))
+                    if len(out) == 4096:
+                        yield _batch(out, _CONTEXT)
+                        out = []
+            yield _batch(out, _CONTEXT)
 
-    return docs.select("key", "copy", "text").join(lists, ["key", "copy"]).select("text", "all").mapInArrow(run, "trigger long, phrase long, front int, back int, bytes binary")
+    return docs.select("key", "copy", "text").join(lists, ["key", "copy"]).select("text", "all").mapInArrow(run, CONTEXT)
 
 
-def _sorted_groups(contexts: DataFrame, length: int) -> DataFrame:
-    """(trigger, phrase, start, stop): runs of strings, counted from the phrase's first, that another phrase has too."""
+def _banded(contexts: DataFrame, length: int) -> DataFrame:
+    """The strings of each phrase in bands of their distance to the trigger, as contexts of their own.
+
+    A band's shard is named by all bytes that its strings have in common, so equal strings stay together, and a busy
+    trigger's are spread.
+    """
     half = length // 2
-    schema = pa.schema([("trigger", pa.int64()), ("phrase", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
-
-    def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts)
-        trigger, phrase = t.column(0).to_numpy(), t.column(1).to_numpy()
-        front, back = t.column(2).to_numpy().astype(np.int64), t.column(3).to_numpy().astype(np.int64)
-        texts = t.column(4).to_pylist()
-        n = len(texts)
-        before, behind = np.zeros((n, length - half), np.uint8), np.zeros((n, length - half), np.uint8)
-        for i, (s, f) in enumerate(zip(texts, front.tolist(), strict=True)):
-            x = np.frombuffer(s, np.uint8)
-            before[i, :f] = x[:f][::-1]
-            rest = x[f + half :][: length - half]
-            behind[i, : len(rest)] = rest
-        group = np.unique(trigger, return_inverse=True)[1]
-        equal = equal_strings(group, before, behind, back, front)
-        # Distances fall along the text: runs of equal ones from the phrase's first string on.
-        flags = np.zeros((n, equal.shape[1] + 2), np.int8)
-        column = front[:, None] - np.arange(equal.shape[1])[None, :]
-        flags[:, 1:-1] = np.where(column >= 0, np.take_along_axis(equal, np.maximum(column, 0), 1), False)
-        change = np.diff(flags, axis=1)
-        row, start = np.nonzero(change == 1)
-        _, stop = np.nonzero(change == -1)
-        return pa.RecordBatch.from_arrays([pa.array(trigger[row]), pa.array(phrase[row]), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], schema=schema)
+    step = -(-(length - half + 1) // BANDS)
 
     def run(it) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for b in it:
-            ids = b.column(0).to_numpy()
-            cut = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-            if held and held[-1].column(0)[held[-1].num_rows - 1].as_py() != ids[0]:
-                cut = np.concatenate([[0], cut])
-            # Whole groups together, a few thousand rows at a time.
-            if len(cut) and size + int(cut[-1]) >= 4096:
-                c = int(cut[-1])
-                yield solve([*held, b.slice(0, c)])
-                held, size = [], 0
-                b = b.slice(c)
-            held.append(b)
-            size += b.num_rows
-        if size:
-            yield solve(held)
-
-    dealt = contexts.repartition("trigger").sortWithinPartitions("trigger")
-    return dealt.mapInArrow(run, "trigger long, phrase long, start int, stop int")
-
-
-def _counted_strings(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for triggers with very many phrases: strings are counted by two hashes, with partial sums."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("trigger", pa.int64()), ("phrase", pa.int64()), ("start", pa.int32())])
+        for b in batches(it, rows=400):
+            out = []
+            for _, trigger, phrase, again, base, front, back, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for d in range(back // step * step, front + 1, step):
+                    far, near = min(front, d + step - 1), max(back, d)
+                    shared = t[front - d : front + length - (d + step - 1)]
+                    shard = xxhash.xxh3_64_intdigest(shared, seed=d + 1) - (1 << 63)
+                    out.append((shard, trigger, phrase, again, base + front - far, far, near, t[front - far : front - near + length]))
+            yield _batch(out, _CONTEXT)
+
+    return contexts.mapInArrow(run, CONTEXT)
+
+
+RUNS = "trigger long, phrase long, again long, start long, stop long"
+_RUNS = pa.schema([(f.split()[0], pa.int64()) for f in RUNS.split(", ")])
+
+
+def _ordered(contexts: DataFrame, length: int) -> DataFrame:
+    """RUNS: runs of strings, counted from the phrase's first, that another phrase of the shard has too."""
+
+    def run(it) -> Iterator[pa.RecordBatch]:
+        for t, _ in whole_groups(it, 1, rows=4096, size=4 << 20):
+            names = [t.column(i).to_numpy() for i in (1, 2, 3)]
+            base, front, back = (t.column(i).to_numpy().astype(np.int64) for i in (4, 5, 6))
+            equal = equal_strings(t.column(7).to_pylist(), front, back, length)
+            count = front - back + 1
+            row = np.repeat(np.arange(len(count)), count)
+            first = np.cumsum(count) - count
+            edge = np.concatenate([[True], row[1:] != row[:-1]])
+            start = np.flatnonzero(equal & (edge | ~np.concatenate([[False], equal[:-1]])))
+            stop = np.flatnonzero(equal & np.concatenate([edge[1:] | ~equal[1:], [True]])) + 1
+            r = row[start]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*(n[r] for n in names), start - first[r] + base[r], stop - first[r] + base[r])], schema=_RUNS)
+
+    return contexts.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, RUNS)
+
+
+def _counted(contexts: DataFrame, length: int) -> DataFrame:
+    """RUNS of shards that stay large when banded: bands of one string each, named by all its bytes, which need only be counted."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), *_RUNS])
 
     def run(it) -> Iterator[pa.RecordBatch]:
         for b in batches(it, rows=400, size=1 << 20):
-            data, at = joined_bytes(b.column(4))
-            n = np.diff(at) - length + 1
-            row = np.repeat(np.arange(len(n)), n)
-            inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            place = at[row] + inside
-            names = [pa.array(Hashes(data, w).of(place, place + length).view(np.int64)) for w in range(2)]
-            yield pa.RecordBatch.from_arrays([*names, pa.array(b.column(0).to_numpy()[row]), pa.array(b.column(1).to_numpy()[row]), pa.array(inside.astype(np.int32))], schema=schema)
-
-    strings = contexts.select("trigger", "phrase", "front", "back", "bytes").mapInArrow(run, "a long, b long, trigger long, phrase long, start int")
+            out = []
+            for _, trigger, phrase, again, base, front, back, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for i in range(front - back + 1):
+                    name = xxhash.xxh3_128_intdigest(t[i : i + length])
+                    out.append(((name >> 64) - (1 << 63), (name & ((1 << 64) - 1)) - (1 << 63), trigger, phrase, again, base + i, base + i + 1))
+            yield _batch(out, schema)
+
+    strings = contexts.mapInArrow(run, f"a long, b long, {RUNS}")
     twice = materialize(strings.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "twice")
-    return strings.join(twice, ["a", "b"]).select("trigger", "phrase", "start", (F.col("start") + 1).alias("stop"))
+    return strings.join(twice, ["a", "b"]).select(*[f.name for f in _RUNS])
+
+
+def _split(contexts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Contexts of shards that have at most so many, and of the others."""
+    busy = contexts.groupBy("shard").agg(F.count("*").alias("c")).where(F.col("c") > most).select("shard")
+    busy = materialize(busy, "busy")
+    return contexts.join(busy, "shard", "left_anti"), contexts.join(busy, "shard", "left_semi")
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(key, copy, first, last) for docs(key, copy, text): runs of bytes first to last (exclusive) of strings that start elsewhere too.
 
-    Runs may touch or overlap.
+    Runs may touch or overlap. Null texts, and those shorter than a passage, have none. A trigger that occurs once settles
+    its phrase, as does one whose phrase is always the same (by two hashes of 64 bits), whatever the number of its places.
     """
     if length < 16:
         raise ValueError("passages are of at least 16 bytes")
-    all_ = phrases(docs, length)
-    # A trigger that occurs twice is alive; if its phrases are all the same, so are all their strings.
-    alive = materialize(all_.groupBy("trigger").agg(F.count("*").alias("n"), F.min("phrase").alias("one"), F.max("phrase").alias("two")).where("n > 1").select("trigger", (F.col("one") != F.col("two")).alias("many")), "alive")
-    live = materialize(all_.join(alive, "trigger"), "live")
+    rows = phrases(docs, length)
+    all_ = rows.where("n > 0")
+    ends = [f(c).alias(f"{n}_{c}") for c in ("phrase", "again") for n, f in (("low", F.min), ("high", F.max))]
+    alive = all_.groupBy("trigger").agg(F.sum("n").alias("c"), *ends).where("c > 1")
+    alive = materialize(alive.select("trigger", ((F.col("low_phrase") != F.col("high_phrase")) | (F.col("low_again") != F.col("high_again"))).alias("many")), "alive")
+    live = materialize(all_.join(alive, "trigger").unionByName(rows.where("n = 0").withColumn("many", F.lit(None).cast("boolean"))), "live")
+    sure = live.where("many IS NULL").select("key", "copy", F.col("low").alias("first"), F.col("high").alias("last"))
     same = live.where(~F.col("many")).select("key", "copy", F.col("low").alias("first"), (F.col("high") + length).alias("last"))
     mixed = live.where("many")
     # One of each phrase is compared; a phrase that occurs twice has all its strings twice.
-    each = materialize(mixed.groupBy("trigger", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("key", "copy", "low", "at", "high")).alias("x")).select("trigger", "phrase", "n", "x.*"), "each")
-    contexts = materialize(_contexts(docs, each, length), "contexts")
-    crowded = each.groupBy("trigger").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("trigger")
-    few, many = contexts.join(crowded, "trigger", "left_anti"), contexts.join(crowded, "trigger", "left_semi")
-    runs = _sorted_groups(few, length).unionByName(_counted_strings(many, length))
-    whole = each.where("n > 1").select("trigger", "phrase", F.lit(0).alias("start"), (F.col("high") - F.col("low") + 1).alias("stop"))
+    by = ["trigger", "phrase", "again"]
+    each = materialize(mixed.groupBy(*by).agg(F.sum("n").alias("c"), F.min(F.struct("key", "copy", "low", "at", "high")).alias("x")).select(*by, "c", "x.*"), "each")
+    few, busy = _split(materialize(_contexts(docs, each, length), "contexts"), HOT)
+    banded, crowded = _split(materialize(_banded(busy, length), "banded"), HOT)
+    runs = _ordered(few, length).unionByName(_ordered(banded, length)).unionByName(_counted(crowded, length))
+    whole = each.where("c > 1").select(*by, F.lit(0).cast("long").alias("start"), (F.col("high") - F.col("low") + 1).alias("stop"))
     found = materialize(runs.unionByName(whole), "runs")
-    part = mixed.join(found, ["trigger", "phrase"]).select("key", "copy", (F.col("low") + F.col("start")).alias("first"), (F.col("low") + F.col("stop") - 1 + length).alias("last"))
-    return same.unionByName(part)
+    part = mixed.join(found, by).select("key", "copy", (F.col("low") + F.col("start")).alias("first"), (F.col("low") + F.col("stop") - 1 + length).alias("last"))
+    return sure.unionByName(same).unionByName(part)
 
 
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs (doc_id, text and any other columns) with FIRST and LAST: sorted arrays of the maximal runs to remove, or null."""
+    """docs (doc_id, text and any other columns) with FIRST and LAST: sorted arrays of the maximal runs to remove, or null.
+
+    All rows stay. Repeated rows are texts of their own, and repeat each other; null and empty texts have no runs.
+    """
     d = keyed(docs)
     s = materialize(spans(d.select(F.col(KEY).alias("key"), F.col(COPY).alias("copy"), "text"), length), "spans")
 
-    schema = pa.schema([("key", pa.int64()), ("copy", pa.int64()), ("first", pa.list_(pa.int32())), ("last", pa.list_(pa.int32()))])
+    kind = pa.list_(pa.int64())
+    schema = pa.schema([("key", pa.int64()), ("copy", pa.int64()), ("first", kind), ("last", kind)])
 
     def merge(it) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -281,10 +372,10 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         e.append(p[1])
                 firsts.append(f)
                 lasts.append(e)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(firsts, pa.list_(pa.int32())), pa.array(lasts, pa.list_(pa.int32()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(firsts, kind), pa.array(lasts, kind)], schema=schema)
 
     # A text has fewer runs than triggers; equal rows share a key, so their runs are made distinct first.
-    lists = s.distinct().groupBy("key", "copy").agg(F.collect_list(F.struct("first", "last")).alias("x")).mapInArrow(merge, "key long, copy long, first array<int>, last array<int>")
+    lists = s.distinct().groupBy("key", "copy").agg(F.collect_list(F.struct("first", "last")).alias("x")).mapInArrow(merge, "key long, copy long, first array<long>, last array<long>")
     lists = materialize(lists, "lists").toDF(KEY, COPY, FIRST, LAST)
     return d.join(lists, [KEY, COPY], "left").drop(KEY, COPY)
 
@@ -296,7 +387,10 @@ def _kept(text: bytes, first: list[int] | None, last: list[int] | None) -> bytes
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with repeated passages cut out of text (bytes that are then no whole characters are dropped); same columns."""
+    """docs with repeated passages cut out of text (bytes that are then no whole characters are dropped); same rows and columns.
+
+    A passage is cut everywhere, its first place included. Null texts stay null, empty ones empty; an empty table stays so.
+    """
     names = docs.columns
     d = removed(docs.select(*names), length)
 
@@ -314,7 +408,10 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What of each whole text is left without passages of 200 bytes that occur twice in the corpus."""
+    """What of each whole text is left without passages of 200 bytes that occur twice in the corpus.
+
+    A row for each row of documents, in any order; null texts are empty, and repeated rows repeat each other.
+    """
     tuned(spark)
     d = removed(read(spark, sf_dir, "documents").select("doc_id", "text"))
     names = [f.split()[0] for f in RESULT.split(", ")]

@@ -265,29 +265,51 @@ def test_parts_of_a_sorted_order():
     assert member(whole) <= set().union(*map(member, parts))
 
 
-@pytest.mark.parametrize("crowd", [1, 8192])
-def test_repeats(docs, empty, monkeypatch, crowd):
-    monkeypatch.setattr(repeats, "CROWD", crowd)
-    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+def repeats_by_force(rows):
+    """(doc_id or -1, bytes, removed, runs, what is left) of every text."""
     count = collections.Counter(t[j : j + 200] for _, t in rows for j in range(len(t) - 199))
     want = []
     for i, t in rows:
-        m = np.zeros(len(t), bool)
+        m = np.zeros(len(t) + 2, np.int8)
         for j in range(len(t) - 199):
             if count[t[j : j + 200]] > 1:
-                m[j : j + 200] = True
-        want.append((-1 if i is None else i, len(t), bytes(np.frombuffer(t, np.uint8)[~m])))
-    got = []
-    for r in repeats.removed(docs.select("doc_id", "text", "score")).collect():
-        t = (r.text or "").encode()
-        got.append((-1 if r.doc_id is None else r.doc_id, len(t), repeats._kept(t, r[repeats.FIRST], r[repeats.LAST])))
-    assert sorted(got) == sorted(want)
-    if crowd > 1:
+                m[j + 1 : j + 201] = 1
+        want.append((-1 if i is None else i, len(t), int(m.sum()), int((np.diff(m) == 1).sum()), bytes(np.frombuffer(t, np.uint8)[m[1:-1] == 0])))
+    return sorted(want)
+
+
+@pytest.mark.parametrize("hot", [0, 3, 1024])
+def test_repeats(spark, docs, empty, monkeypatch, tmp_path, hot):
+    """The query's columns against brute force; hot: 0 makes all shards banded and then counted string by string."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = np.random.default_rng(7)
+    base = prose(21, 300)
+    near = [base[:k] + "#" + base[k + 1 :] for k in rng.integers(0, len(base), 12).tolist()]
+    periods = ["a" * 900, "ab" * 500, "abc " * 300, ("x" * 150 + "y" * 77) * 5, prose(22, 40) * 6]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(100 + i, t) for i, t in enumerate(near + periods)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = repeats_by_force([(i, (t or "").encode()) for i, t in rows])
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.op10_repeats(spark, str(tmp_path)).collect())
+    assert got == sorted((*w[:4], hashlib.sha256(w[4]).hexdigest()) for w in want)
+    if hot > 3:
         cut = {r.doc_id: r.text for r in repeats.cleaned(docs).where("doc_id > 5").collect()}
-        assert cut[10] == next(k for i, _, k in want if i == 10).decode() and repeats.cleaned(docs).columns == docs.columns
+        own = repeats_by_force([(r.doc_id, (r.text or "").encode()) for r in docs.collect()])
+        assert cut[10] == next(w[4] for w in own if w[0] == 10).decode() and repeats.cleaned(docs).columns == docs.columns
         assert repeats.cleaned(empty.select("doc_id", "text")).count() == 0
 
 
+def test_suffix_ranks():
+    """Ranks of dictionary suffixes are those of sorting them."""
+    rng = np.random.default_rng(2)
+    words = [bytes(rng.integers(0, 3, int(n)).astype(np.uint8)) for n in rng.integers(0, 60, 40)] + [b"", b"\x00" * 30, b"\xff" * 9]
+    rank, starts = repeats.suffix_ranks(words)
+    all_ = [(w[i:], int(rank[s + i])) for w, s in zip(words, starts.tolist(), strict=True) for i in range(len(w) + 1)]
+    order = {w: i for i, w in enumerate(sorted({w for w, _ in all_}))}
+    assert sorted({order[w]: r for w, r in all_}.items()) == sorted({(order[w], r) for w, r in all_})
+    by = sorted((order[w], r) for w, r in all_)
+    assert all((x[0] < y[0]) == (x[1] < y[1]) for x, y in zip(by, by[1:], strict=False))
+
+
 def test_line_dedup(spark, empty):
     rows = [(i, f"{prose(i, 9)}\nUser {i} came in at {i}:00 today\nAll rights reserved.\n") for i in range(12)] + [(12, None), (13, ""), (0, f"{prose(0, 9)}\nUser 0 came in at 0:00 today\nAll rights reserved.\n")]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("x"))
