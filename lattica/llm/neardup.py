@@ -182,26 +182,41 @@ def forest(classes: DataFrame, threshold: int) -> DataFrame:
     return found.unionByName(found.where(F.col("kind") >= FIRST).repartition(1).mapInArrow(stitch, FOREST))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) of linked nodes for pairs(tile, a, b, x, y): ids a and b, which are in nodes x and y.
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, set) of the rows of docs whose doc_id is in ids(id); sets are made once more from the texts.
 
-    A link: 100 * shared shingles >= threshold * united shingles. Sets are made once more from the texts and sent to each
-    tile that needs them; in a tile, pairs whose nodes are joined already are skipped, so what returns joins all that is
-    linked, in a star for each tile's groups. Where rows share an id, any of their texts may be linked.
+    Ids grow with the corpus, so both sides are sorted towards each other at every size.
     """
-    pairs = materialize(pairs, "pairs")
-    wanted = pairs.select("tile", F.explode(F.array("a", "b")).alias("id")).distinct()
     schema = pa.schema([("id", pa.int64()), ("set", pa.binary())])
 
     def describe(it) -> Iterator[pa.RecordBatch]:
         for b in batches(it, rows=400, size=1 << 20):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in shingle_sets(b.column(1))], pa.binary())], schema=schema)
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(describe, "id long, set binary")
+    wanted = ids.select(F.col("id").alias("doc_id")).distinct()
+    return docs.hint("merge").join(wanted, "doc_id", "left_semi").mapInArrow(describe, "id long, set binary")
+
+
+def by_id(ids: list[int], sets: list[bytes]) -> dict[int, list[np.ndarray]]:
+    """Sets of each id: of all rows that share it, repeated ones once."""
+    known: dict[int, list[np.ndarray]] = {}
+    for d, s in zip(ids, sets, strict=True):
+        if all(r.tobytes() != s for r in known.setdefault(d, [])):
+            known[d].append(np.frombuffer(s, np.uint64))
+    return known
+
+
+def verified(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """Stars (a, b) of ids that linked pairs(tile, a, b) join: 100 * shared shingles >= threshold * united shingles.
+
+    A tile's sets are sent to it once; pairs that are joined already are skipped, so what returns joins all that is linked.
+    Where rows share an id, any of their texts may be linked.
+    """
+    pairs = materialize(pairs, "pairs")
+    wanted = pairs.select("tile", F.explode(F.array("a", "b")).alias("id")).distinct()
     none = F.lit(None)
-    rows = wanted.join(sets, "id").select("tile", F.lit(0).alias("kind"), F.col("id").alias("a"), none.cast("long").alias("b"), none.cast("long").alias("x"), none.cast("long").alias("y"), "set")
-    rows = rows.unionByName(pairs.select("tile", F.lit(1).alias("kind"), "a", "b", "x", "y", none.cast("binary").alias("set")))
+    rows = wanted.hint("merge").join(sets_of(docs, wanted), "id").select("tile", F.lit(0).alias("kind"), F.col("id").alias("a"), none.cast("long").alias("b"), "set")
+    rows = rows.unionByName(pairs.select("tile", F.lit(1).alias("kind"), "a", "b", none.cast("binary").alias("set")))
 
     def decide(it) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(it, 1):
@@ -209,18 +224,16 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
             out: list[tuple[int, int]] = []
             for i, j in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
                 k = i + int((kind[i:j] == 0).sum())
-                known: dict[int, list[np.ndarray]] = {}
-                for d, s in zip(t.column(2).slice(i, k - i).to_pylist(), t.column(6).slice(i, k - i).to_pylist(), strict=True):
-                    if all(r.tobytes() != s for r in known.setdefault(d, [])):  # repeated rows
-                        known[d].append(np.frombuffer(s, np.uint64))
-                out += linked(zip(*(t.column(c).slice(k, j - k).to_pylist() for c in (2, 3, 4, 5)), strict=True), known, threshold)
+                known = by_id(t.column(2).slice(i, k - i).to_pylist(), t.column(4).slice(i, k - i).to_pylist())
+                two = [t.column(c).slice(k, j - k).to_pylist() for c in (2, 3)]
+                out += linked(zip(*two, *two, strict=True), known, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], []))], names=["a", "b"])
 
     return rows.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(decide, "a long, b long")
 
 
 def linked(pairs: Iterable[tuple[int, int, int, int]], sets: dict[int, list[np.ndarray]], threshold: int) -> list[tuple[int, int]]:
-    """Stars of the nodes that linked pairs (a, b, x, y) join: each node with the smallest one of its group."""
+    """Stars of the nodes that linked pairs of ids (a, b) in nodes (x, y) join: each node with the smallest of its group."""
     parent: dict[int, int] = {}
 
     def root(i: int) -> int:
@@ -241,54 +254,69 @@ def linked(pairs: Iterable[tuple[int, int, int, int]], sets: dict[int, list[np.n
     return [(i, root(i)) for i in parent if root(i) != i]
 
 
-def crossing(it, threshold: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (tile, a, b, x, y) that may be linked, from tiles of (tile, tree, rep, size, node, block, main, own, labels).
+TILE = "tile long, tree int, rep long, size long, node long, block int, main int, own int, labels binary"
+
 
-    A tile has two blocks, of which only pairs across count, or one block against its own rows.
+def crossing(t: pa.Table, i: int, j: int, threshold: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a tile, rows i to j of a table of TILE: rows, and those that they may be linked with; each pair comes once.
 
-    A pair: rows of different nodes, not both of the region's main node, whose labels agree in about as many values as
-    linked ones do, and that share a region in no tree before this one, so that it is met once.
+    A tile has two blocks, of which only pairs across count, or one block against its own rows. A pair: rows of different
+    nodes, not both of the region's main node, whose labels agree in about as many values as linked ones do, and that share
+    a region in no tree before this one.
     """
-    for t, starts in whole_groups(it, 1):
-        tile, tree, rep, size, node, block, main, own = (t.column(i).to_numpy() for i in range(8))
-        value = np.frombuffer(joined_bytes(t.column(8).combine_chunks())[0].tobytes(), np.uint16).reshape(t.num_rows, TREES * DEPTH)
-        enter = value.reshape(-1, TREES, DEPTH)[:, :, :ENTER].copy().view(np.uint64)[:, :, 0]
-        out: list[np.ndarray] = []
-        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
-            for s in (np.flatnonzero(main[i:j] == 0) + i).tolist():
-                o = np.arange(i, j)
-                o = o[(node[o] != node[s]) & similar_size(size[o], size[s], threshold) & (rep[o] != rep[s])]
-                o = o[o > s] if own[s] else o[(main[o] == 1) | (block[o] < block[s])]
-                if len(o):
-                    o = o[(enter[o] == enter[s]).argmax(axis=1) == tree[s]]
-                    o = o[(value[o] == value[s]).mean(axis=1) >= threshold / 100 - MARGIN]
-                    if len(o):
-                        out.append(np.stack([np.full(len(o), tile[s]), np.full(len(o), rep[s]), rep[o], np.full(len(o), node[s]), node[o]]))
-        rows = np.concatenate(out, axis=1) if out else np.zeros((5, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r)) for r in rows], names=["tile", "a", "b", "x", "y"])
-
-
-def open_regions(members: DataFrame, nodes: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs still to be verified, as verified() takes them: of members(tree, key, rep) of a region in different nodes.
+    tree, rep, size, node, block, main, own = (t.column(c).slice(i, j - i).to_numpy() for c in range(1, 8))
+    value = np.frombuffer(joined_bytes(t.column(8).slice(i, j - i).combine_chunks())[0].tobytes(), np.uint16).reshape(j - i, TREES * DEPTH)
+    enter = value.reshape(-1, TREES, DEPTH)[:, :, :ENTER].copy().view(np.uint64)[:, :, 0]
+    every = np.arange(j - i)
+    for s in np.flatnonzero(main == 0).tolist():
+        o = every[s + 1 :] if own[s] else every[(main == 1) | (block < block[s])]
+        o = o[(node[o] != node[s]) & similar_size(size[o], size[s], threshold) & (rep[o] != rep[s])]
+        o = o[(enter[o] == enter[s]).argmax(axis=1) == tree[s]] if len(o) else o
+        o = o[(value[o] == value[s]).mean(axis=1) >= threshold / 100 - MARGIN] if len(o) else o
+        if len(o):
+            yield s, o
+
+
+def late_links(members: DataFrame, nodes: DataFrame, classes: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """Stars (a, b) of nodes that are linked beyond nodes(id, component): of members(tree, key, rep) of regions.
 
     Regions that are all one node are done. In the others, the main node's rows are only set against the rest, and the rest
-    against each other, in pairs of blocks, so that a region of any size meets many tasks.
+    against each other, in pairs of blocks, so that a region of any size meets many tasks. Labels alone say which rows may
+    be linked with any; only those rows' sets are sent to their tiles, where the pairs are made and decided at once.
     """
     placed = members.join(nodes.select(F.col("id").alias("rep"), "component"), "rep", "left").select("tree", "key", "rep", F.coalesce("component", "rep").alias("node"))
     placed = materialize(placed.distinct(), "placed")
     sizes = placed.groupBy("tree", "key", "node").agg(F.count("*").alias("c")).groupBy("tree", "key").agg(F.max(F.struct("c", "node")).alias("m"), F.sum("c").alias("n"))
-    left = materialize(sizes.where("n > m.c").select("tree", "key", F.col("m.node").alias("main"), F.ceil(F.col("m.c") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("m.c")) / BLOCK).cast("int").alias("others")), "open-regions")
-    r = placed.join(left, ["tree", "key"]).withColumn("is_main", (F.col("node") == F.col("main")).cast("int"))
-    own = F.when(F.col("is_main") == 1, F.pmod(F.xxhash64("rep"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("rep"), "others")).cast("int")
-    against = F.explode(F.when(F.col("is_main") == 1, F.sequence("mains", F.col("mains") + F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("mains") + F.col("others") - 1)))
-    r = r.withColumn("block", own).withColumn("against", against)
-    r = r.select(F.xxhash64("tree", "key", F.least("block", "against"), F.greatest("block", "against")).alias("tile"), "tree", "rep", "node", "block", "is_main", (F.col("block") == F.col("against")).cast("int").alias("own"))
-    r = r.join(classes.select("rep", "n_shingles", "labels"), "rep").select("tile", "tree", "rep", "n_shingles", "node", "block", "is_main", "own", "labels")
+    left = materialize(sizes.where("n > m.c").select("tree", "key", F.col("m.node").alias("most"), F.ceil(F.col("m.c") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("m.c")) / BLOCK).cast("int").alias("others")), "open-regions")
+    r = placed.join(left, ["tree", "key"]).withColumn("main", (F.col("node") == F.col("most")).cast("int"))
+    block = F.when(F.col("main") == 1, F.pmod(F.xxhash64("rep"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("rep"), "others")).cast("int")
+    against = F.explode(F.when(F.col("main") == 1, F.sequence("mains", F.col("mains") + F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("mains") + F.col("others") - 1)))
+    r = r.withColumn("block", block).withColumn("against", against)
+    r = r.select(F.xxhash64("tree", "key", F.least("block", "against"), F.greatest("block", "against")).alias("tile"), "tree", "rep", "node", "block", "main", (F.col("block") == F.col("against")).cast("int").alias("own"))
+    r = r.join(classes.select("rep", F.col("n_shingles").alias("size"), "labels"), "rep").select(*[f.split()[0] for f in TILE.split(", ")])
+
+    def hopeful(it) -> Iterator[pa.RecordBatch]:
+        for t, starts in whole_groups(it, 1):
+            keep = np.zeros(t.num_rows, bool)
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+                for s, o in crossing(t, i, j, threshold):
+                    keep[i + s] = keep[i + o] = True
+            yield from t.filter(pa.array(keep)).to_batches()
 
-    def run(it) -> Iterator[pa.RecordBatch]:
-        yield from crossing(it, threshold)
+    hope = materialize(r.repartition("tile").sortWithinPartitions("tile").mapInArrow(hopeful, TILE), "hopeful")
+    rows = hope.hint("merge").join(sets_of(docs, hope.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep"), "rep")
+
+    def decide(it) -> Iterator[pa.RecordBatch]:
+        for t, starts in whole_groups(it, 1):
+            out: list[tuple[int, int]] = []
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+                rep, node = t.column(2).slice(i, j - i).to_pylist(), t.column(4).slice(i, j - i).to_pylist()
+                known = by_id(rep, t.column(9).slice(i, j - i).to_pylist())
+                out += linked(((rep[s], rep[k], node[s], node[k]) for s, o in crossing(t, i, j, threshold) for k in o.tolist()), known, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], []))], names=["a", "b"])
 
-    return r.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "tile long, a long, b long, x long, y long")
+    rows = rows.select(*[f.split()[0] for f in TILE.split(", ")], "set")
+    return rows.repartition("tile").sortWithinPartitions("tile", "rep").mapInArrow(decide, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
@@ -311,14 +339,14 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     real = all_rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = materialize(real.groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("rep"), F.any_value("labels").alias("labels")), "classes")
     rows = forest(classes, threshold)
-    near = rows.where(F.col("kind") == NEIGHBOURS).groupBy("a", "b").agg(F.min("key").alias("tile")).select("tile", "a", "b", F.col("a").alias("x"), F.col("b").alias("y"))
+    near = rows.where(F.col("kind") == NEIGHBOURS).groupBy("a", "b").agg(F.min("key").alias("tile")).select("tile", "a", "b")
     named = materialize(real.join(classes.select("n_shingles", "a", "b", "rep"), ["n_shingles", "a", "b"]).select("doc_id", "n_shingles", "rep"), "named")
     # Texts that share an id are one node.
     twice = named.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     same = named.join(twice, "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     nodes = materialize(connected(verified(near, own, threshold).unionByName(same), "nodes"), "nodes")
     members = rows.where(F.col("kind") == MEMBER).select("tree", "key", F.col("a").alias("rep"))
-    late = connected(verified(open_regions(members, nodes, classes, threshold), own, threshold), "late")
+    late = connected(late_links(members, nodes, classes, own, threshold), "late")
     late = materialize(late.select(F.col("id").alias("component"), F.col("component").alias("last")), "late")
     groups = nodes.join(late, "component", "left").select("id", F.coalesce("last", "component").alias("component"))
     alone = late.join(nodes.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("id"), F.col("last").alias("component"))

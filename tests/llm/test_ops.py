@@ -235,10 +235,11 @@ def test_tiles_meet_each_pair_once():
                 tile += 1
                 rows += [(tile, tree, i, 100, 0 if main[i] else i + 1, int(block[i]), int(main[i]), int(x == y), short[i].tobytes()) for i in members if block[i] in (x, y)]
     batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-    for b in neardup.crossing([batch], 75):
-        for _, i, j, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            seen[min(i, j), max(i, j)] += 1
-            assert x == (0 if main[i] else i + 1) and y == (0 if main[j] else j + 1)
+    ids, cuts = batch.column(2).to_pylist(), [0, *(k for k in range(1, len(rows)) if rows[k][0] != rows[k - 1][0]), len(rows)]
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        for x, o in neardup.crossing(pa.Table.from_batches([batch]), i, j, 75):
+            for y in o.tolist():
+                seen[min(ids[i + x], ids[i + y]), max(ids[i + x], ids[i + y])] += 1
     assert set(seen.values()) == {1} and all(not (main[i] and main[j]) for i, j in seen)
     assert {(i, j) for i in range(n) for j in range(i + 1, min(n, i + 9)) if not (main[i] and main[j])} <= set(seen)
 
