@@ -131,7 +131,8 @@ def phrases(docs: DataFrame, length: int) -> DataFrame:
             none = np.zeros(len(t), np.int64)
             both = lambda x, y: np.concatenate([x, y])
             where = text[first]
-            columns = [both(keys[0][where], keys[0][t]), both(keys[1][where], keys[1][t]), both(h[first].view(np.int64), none), both(p[first].view(np.int64), none), both(again[first].view(np.int64), none), both((start - off)[first], low), both((trigger - off)[first], none), both((end - off)[first], high), both(np.minimum(count, 2), none)]
+            # Runs have no trigger; their text's key stands there, so that they are dealt out.
+            columns = [both(keys[0][where], keys[0][t]), both(keys[1][where], keys[1][t]), both(h[first].view(np.int64), keys[0][t]), both(p[first].view(np.int64), none), both(again[first].view(np.int64), none), both((start - off)[first], low), both((trigger - off)[first], none), both((end - off)[first], high), both(np.minimum(count, 2), none)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     return docs.select("key", "copy", "text").mapInArrow(run, PHRASES)
@@ -332,10 +333,10 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ends = [f(c).alias(f"{n}_{c}") for c in ("phrase", "again") for n, f in (("low", F.min), ("high", F.max))]
     alive = all_.groupBy("trigger").agg(F.sum("n").alias("c"), *ends).where("c > 1")
     alive = materialize(alive.select("trigger", ((F.col("low_phrase") != F.col("high_phrase")) | (F.col("low_again") != F.col("high_again"))).alias("many")), "alive")
-    live = materialize(all_.join(alive, "trigger").unionByName(rows.where("n = 0").withColumn("many", F.lit(None).cast("boolean"))), "live")
-    sure = live.where("many IS NULL").select("key", "copy", F.col("low").alias("first"), F.col("high").alias("last"))
-    same = live.where(~F.col("many")).select("key", "copy", F.col("low").alias("first"), (F.col("high") + length).alias("last"))
-    mixed = live.where("many")
+    live = materialize(rows.join(alive, "trigger", "left").where("n = 0 OR many IS NOT NULL"), "live")
+    sure = live.where("n = 0").select("key", "copy", F.col("low").alias("first"), F.col("high").alias("last"))
+    same = live.where((F.col("n") > 0) & ~F.col("many")).select("key", "copy", F.col("low").alias("first"), (F.col("high") + length).alias("last"))
+    mixed = live.where("n > 0 AND many")
     # One of each phrase is compared; a phrase that occurs twice has all its strings twice.
     by = ["trigger", "phrase", "again"]
     each = materialize(mixed.groupBy(*by).agg(F.sum("n").alias("c"), F.min(F.struct("key", "copy", "low", "at", "high")).alias("x")).select(*by, "c", "x.*"), "each")
