@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import fuzzy
-from lattica.functions.vectors import euclidean, squared_distance
-from lattica.operators.graphs import pairs
-from lattica.operators.kernels import procrustes  # noqa: F401  (part of the same surface)
+from lattica.functions.vectors import euclidean
+from lattica.operators import segments
+from lattica.operators.kernels import palette_projection
+from lattica.operators.neighbours import distances, moments, nearest, squared
 
 
 def gaussian_similarity(samples: DataFrame, sigma2: float) -> DataFrame:
     """sim(i, j, s) for i < j: exp(-d^2 / sigma^2)."""
-    return pairs(samples).select("i", "j", F.exp(-squared_distance(F.col("xi"), F.col("xj")) / sigma2).alias("s"))
+    return distances(samples).select("i", "j", F.exp(-F.col("d2") / sigma2).alias("s"))
 
 
 def modulated(sim: DataFrame, labels: DataFrame, same: float = 10.0, other: float = 0.1) -> DataFrame:
@@ -28,8 +32,8 @@ def modulated(sim: DataFrame, labels: DataFrame, same: float = 10.0, other: floa
 
 def distance_variance(samples: DataFrame) -> DataFrame:
     """One row: variance of all pairs' distances, E[d^2] - E[d]^2."""
-    d = pairs(samples).select(euclidean(F.col("xi"), F.col("xj")).alias("d"))
-    return d.agg((F.avg(F.col("d") * F.col("d")) - F.avg("d") * F.avg("d")).alias("variance"), F.count("*").alias("n"))
+    mean = F.col("d") / F.col("n")
+    return moments(samples).select((F.col("d2") / F.col("n") - mean * mean).alias("variance"), "n")
 
 
 def row_normalized(sim: DataFrame) -> DataFrame:
@@ -38,38 +42,6 @@ def row_normalized(sim: DataFrame) -> DataFrame:
     return sim.withColumn("d", d).select("i", "j", F.when(F.col("d") < 1e-4, 0.0).otherwise(F.col("s") / F.col("d")).alias("s"))
 
 
-def nearest(train: DataFrame, test: DataFrame, k: int = 1, *, leave_one_out: bool = False, block: int = 1024) -> DataFrame:
-    """(id, label, rank, other, other_label, d): the k nearest rows of train for each of test; ties go to smaller ids.
-
-    Samples are (id, x, label) with x of one length. Both sides are dealt into blocks of about `block` rows; each pair of
-    blocks is one task's work, of which only the k best rows for each test row leave, so no pair of samples is a row.
-    """
-    parts = lambda df: max(1, -(-df.count() // block))
-    n, m = parts(test), parts(train)
-    one = test.select("id", "x", "label").withColumn("p", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    two = train.select("id", "x", "label").toDF("id", "x", "label").withColumn("q", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        names = ["id", "label", "other", "other_label", "d2"]
-        if not len(a) or not len(b):
-            return pd.DataFrame({c: np.zeros(0, float if c == "d2" else np.int64) for c in names})
-        b = b.sort_values("id", kind="stable")
-        y, ids, labels, out = np.stack(b["x"].to_numpy()).astype(float), b["id"].to_numpy(), b["label"].to_numpy(), []
-        for i, x, label in zip(a["id"], a["x"], a["label"], strict=True):
-            d2 = ((y - np.asarray(x, float)) ** 2).sum(axis=1)
-            if leave_one_out:
-                d2[ids == i] = np.inf
-            top = np.argpartition(d2, k)[:k] if k < len(d2) else np.arange(len(d2))
-            top = np.flatnonzero(d2 <= d2[top].max())  # rows as near as the kth, of which the smaller ids count
-            top = top[np.argsort(d2[top], kind="stable")][:k]
-            out += [(i, label, ids[t], labels[t], d2[t]) for t in top if np.isfinite(d2[t])]
-        return pd.DataFrame(out, columns=names)
-
-    found = one.groupBy("p", "q").cogroup(two.groupBy("p", "q")).applyInPandas(search, "id long, label int, other long, other_label int, d2 double")
-    w = Window.partitionBy("id").orderBy("d2", "other")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "label", "rank", "other", "other_label", F.sqrt("d2").alias("d"))
-
-
 def knn_predict(train: DataFrame, test: DataFrame, k: int = 1, *, leave_one_out: bool = False) -> DataFrame:
     """(id, label, predicted, neighbour): the commonest label of the k nearest (ties: the smaller label), and the nearest."""
     n = nearest(train, test, k, leave_one_out=leave_one_out)
@@ -197,18 +169,25 @@ def matched_similarity(s: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.divide(total, weight, out=np.full(n * m, -1.0), where=weight > 0).reshape(n, m)
 
 
-def most_similar(segments: DataFrame, block: int = 256, step: int = 16) -> DataFrame:
+def most_similar(segments: DataFrame, block: int = 256, step: int = 16, others: DataFrame | None = None) -> DataFrame:
     """sim(i, j, s): for each image the most similar of all others (ties: the smaller id), by matched segments.
 
+    others: segments of the images to be compared with, if not these; an image of the same id is left out there too.
+
     Images are dealt into blocks of about `block`; each pair of blocks is one task's work, `step` images at a time, of
     which only the best for each image leaves. An image of background alone has no segments to match, and no row.
     """
-    total = F.sum("area").over(Window.partitionBy("image_id"))
-    s = segments.withColumn("part", F.col("area") / total).where("NOT is_background")
-    s = s.select(F.col("image_id").alias("id"), "seg_idx", "area", "part", "color", "center")
+    def parted(segments: DataFrame) -> DataFrame:
+        total = F.sum("area").over(Window.partitionBy("image_id"))
+        s = segments.withColumn("part", F.col("area") / total).where("NOT is_background")
+        return s.select(F.col("image_id").alias("id"), "seg_idx", "area", "part", "color", "center")
+
+    s = parted(segments)
+    t = s if others is None else parted(others)
     n = max(1, -(-s.select("id").distinct().count() // block))
-    deal, every = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    one, two = s.withColumn("p", deal).withColumn("q", every), s.toDF(*s.columns).withColumn("q", deal).withColumn("p", every)
+    m = n if others is None else max(1, -(-t.select("id").distinct().count() // block))
+    deal, every = (lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")), (lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    one, two = s.withColumn("p", deal(n)).withColumn("q", every(m)), t.toDF(*t.columns).withColumn("q", deal(m)).withColumn("p", every(n))
 
     def images(d: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         d = d.sort_values(["id", "seg_idx"])
@@ -272,27 +251,172 @@ def pattern_classifier(patterns: list[DataFrame], labels: DataFrame) -> DataFram
     return leave_one_out(x.join(labels, "id"))
 
 
+class ModulatedSimilarityClassifier:
+    """Nearest neighbour in an embedding of Gaussian similarities, raised within classes and lowered between them.
+
+    The training samples (id, x, label; label < 0 or null: not known) are kept whole, as each prediction solves a dense
+    eigenproblem of their number: ValueError beyond `most`.
+    """
+
+    def __init__(self, dim: int = 2, sigma2: float = 1.0, same: float = 10.0, other: float = 0.1, most: int = 2000) -> None:
+        self.dim, self.sigma2, self.same, self.other, self.most = dim, sigma2, same, other, most
+        self.x = self.labels = None
+
+    def train(self, samples: DataFrame) -> ModulatedSimilarityClassifier:
+        rows = samples.select("id", "x", F.coalesce("label", F.lit(-1)).alias("label")).orderBy("id").limit(self.most + 1).collect()
+        if len(rows) > self.most:
+            raise ValueError(f"more than {self.most} training samples")
+        self.x, self.labels = np.array([r.x for r in rows], float), np.array([r.label for r in rows])
+        return self
+
+    def predict(self, samples: DataFrame) -> DataFrame:
+        """(id, label, predicted)."""
+        x, labels, sigma2, dim, same, other = self.x, self.labels, self.sigma2, self.dim, self.same, self.other
+
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            s = np.exp(-squared(x, x) / sigma2)
+            for d in it:
+                near = np.exp(-squared(np.stack(d["x"].to_numpy()).astype(float), x) / sigma2) if len(d) else []
+                yield pd.DataFrame({"id": d["id"], "label": d["label"], "predicted": [modulated_similarity_predict(s, labels, t, dim, same, other) for t in near]}).astype({"predicted": "int32"})
+
+        return samples.select("id", "x", "label").mapInPandas(run, "id long, label int, predicted int")
+
+
+class PaletteProjectionClassifier:
+    """Images by their palettes, projected so that palettes of a class are near: then each image's kept pixels take their
+    bin's projected colour, and the new images are matched by segments.
+
+    train() and predict() take pixels with channels, segments(image_id, pix, seg_idx) and labels(id, label; null: not known).
+    A palette holds the colours of an image's histogram bins, in rising order of count; its length is three times the number
+    of bins, and the projection has as many rows and columns.
+    """
+
+    def __init__(self, channels: list[str], bins: int = 5, ranges=None, same: float = 10.0, other: float = 0.1, most: int = 2000) -> None:
+        self.channels, self.bins, self.same, self.other, self.most = channels, bins, same, other, most
+        self.ranges = ranges or segments.LAB_RANGES
+        self.projection = self.images = None
+
+    def _palettes(self, pixels: DataFrame) -> DataFrame:
+        """(image_id, x, bins): the palette, and the bin that each of its colours is of."""
+        hist = segments.full_histogram(segments.color_histogram(pixels, self.channels, self.bins, self.ranges), self.bins)
+        edge = [r[0] + F.col(f"b{i}") * (r[1] - r[0]) / self.bins for i, r in enumerate(self.ranges)]
+        rows = hist.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("n", "b0", "b1", "b2", F.array(*edge).alias("p")))).alias("all"))  # all bins
+        return rows.select("image_id", F.flatten(F.transform("all", lambda a: a["p"])).alias("x"), F.transform("all", lambda a: F.struct(a["b0"].alias("b0"), a["b1"].alias("b1"), a["b2"].alias("b2"))).alias("bins"))
+
+    def _rewritten(self, pixels: DataFrame) -> DataFrame:
+        m = self.projection
+        project = F.pandas_udf(lambda x: pd.Series([(m @ np.asarray(v, float)).tolist() for v in x]), "array<double>")
+        p = self._palettes(pixels).select("image_id", "bins", project("x").alias("y"))
+        each = p.select("image_id", "y", F.posexplode("bins").alias("k", "bin"))
+        colours = each.select("image_id", *(F.col(f"bin.b{i}").alias(f"_b{i}") for i in range(3)), *(F.element_at("y", 3 * F.col("k") + i + 1).alias(f"_c{i}") for i in range(3)))
+        own = {f"_b{i}": segments.bin_of(F.col(c), *r, self.bins) for i, (c, r) in enumerate(zip(self.channels, self.ranges, strict=True))}
+        out = pixels.withColumns(own).join(colours, ["image_id", *own], "left")
+        return out.withColumns({c: F.when(F.col("mask") > 0, F.coalesce(f"_c{i}", F.lit(0.0))).otherwise(0.0) for i, c in enumerate(self.channels)}).drop(*own, "_c0", "_c1", "_c2")
+
+    def _attributes(self, pixels: DataFrame, segs: DataFrame) -> DataFrame:
+        return segments.segment_attributes(self._rewritten(pixels).drop("pix", "label"), segs.select("image_id", "pix", "seg_idx"), self.channels)
+
+    def train(self, pixels: DataFrame, segs: DataFrame, labels: DataFrame) -> PaletteProjectionClassifier:
+        rows = self._palettes(pixels).join(labels.select(F.col("id").alias("image_id"), "label"), "image_id", "left").select("image_id", "x", F.coalesce("label", F.lit(-1)).alias("label")).orderBy("image_id").limit(self.most + 1).collect()
+        if len(rows) > self.most:
+            raise ValueError(f"more than {self.most} training images")
+        x, y = np.array([r.x for r in rows], float), np.array([r.label for r in rows])
+        d2 = squared(x, x)
+        i, j = np.triu_indices(len(x), 1)
+        d = np.sqrt(d2[i, j])
+        pairs = len(x) * (len(x) + 1) / 2
+        sigma2 = max((d * d).sum() / pairs - (d.sum() / pairs) ** 2, 1e-12)
+        known = (y[:, None] >= 0) & (y[None, :] >= 0)
+        s = np.exp(-d2 / sigma2) * np.where(known, np.where(y[:, None] == y[None, :], self.same, self.other), 1.0)
+        np.fill_diagonal(s, 0.0)
+        self.projection = palette_projection(x.T, s, x.shape[1]).T
+        self.images, self.labels = self._attributes(pixels, segs), labels
+        return self
+
+    def predict(self, pixels: DataFrame, segs: DataFrame) -> DataFrame:
+        """(id, predicted, neighbour): the class of the most similar training image, by segment matching; an image is not
+        matched with the training image of its own id."""
+        best = most_similar(self._attributes(pixels, segs), others=self.images)
+        other = self.labels.select(F.col("id").alias("neighbour"), F.col("label").alias("predicted"))
+        return best.select(F.col("i").alias("id"), F.col("j").alias("neighbour")).join(other, "neighbour").select("id", "predicted", "neighbour")
+
+
+class NormalBayes:
+    """Gaussian classes with full covariances (a ridge keeps them regular): sums of rows and of their products, by partial
+    sums of a partition; what is kept grows with classes and the square of the features only."""
+
+    def __init__(self, ridge: float = 1e-6) -> None:
+        self.ridge = ridge
+
+    def fit(self, samples: DataFrame) -> NormalBayes:
+        def sums(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total: dict[int, list] = {}
+            for d in it:
+                for label, g in d.groupby("label"):
+                    x = np.stack(g["x"].to_numpy()).astype(float)
+                    t = total.setdefault(int(label), [0, 0.0, 0.0])
+                    t[0], t[1], t[2] = t[0] + len(x), t[1] + x.sum(axis=0), t[2] + x.T @ x
+            yield pd.DataFrame([(k, n, s.tolist(), m.ravel().tolist()) for k, (n, s, m) in total.items()], columns=["label", "n", "s", "m"])
+
+        parts = samples.where("label IS NOT NULL").select("x", "label").mapInPandas(sums, "label int, n long, s array<double>, m array<double>")
+        add = lambda c: F.array_agg(c)
+        rows = parts.groupBy("label").agg(F.sum("n").alias("n"), add("s").alias("s"), add("m").alias("m")).orderBy("label").collect()  # a row for each class and partition
+        total = sum(r.n for r in rows)
+        self.classes = []
+        for r in rows:
+            mean = np.sum(r.s, axis=0) / r.n
+            cov = np.sum(r.m, axis=0).reshape(len(mean), -1) / r.n - np.outer(mean, mean)
+            cov += np.eye(len(mean)) * (self.ridge * max(float(np.trace(cov)) / len(mean), 1e-12) + 1e-12)
+            self.classes.append((r.label, mean, np.linalg.inv(cov), float(np.log(r.n / total) - np.linalg.slogdet(cov)[1] / 2)))
+        return self
+
+    def predict(self, samples: DataFrame) -> DataFrame:
+        classes = self.classes
+
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for d in it:
+                x = np.stack(d["x"].to_numpy()).astype(float) if len(d) else np.zeros((0, 1))
+                scores = [c - np.einsum("ni,ij,nj->n", x - m, p, x - m) / 2 if len(d) else np.zeros(0) for _, m, p, c in classes]
+                yield pd.DataFrame({"id": d["id"], "label": d["label"], "predicted": np.array([k for k, *_ in classes], np.int32)[np.argmax(scores, axis=0)] if len(d) else np.zeros(0, np.int32)})
+
+        return samples.select("id", "x", "label").mapInPandas(run, "id long, label int, predicted int")
+
+
 class Model:
-    """Train, predict and clear, over samples(id, x, label), for any of Spark's classifiers.
+    """Train, predict and clear, over samples(id, x, label), for classifiers of several kinds.
 
-    kind: 'bayes' (Gaussian with a diagonal covariance: Spark has no full one), 'knn', 'mlp' (layers between input and
-    output) or 'svm' (linear, one class against the rest: Spark has no Gaussian kernel).
+    kind: 'normal_bayes' (full covariances), 'bayes' (Gaussian with a diagonal covariance), 'knn', 'mlp' (layers between
+    input and output) or 'svm' (one class against the rest; with gamma a Gaussian kernel exp(-gamma d^2), by `waves` random
+    Fourier features, else linear).
     """
 
-    def __init__(self, kind: str, *, k: int = 1, layers: tuple[int, ...] = (16,), seed: int = 1) -> None:
-        if kind not in ("bayes", "knn", "mlp", "svm"):
+    def __init__(self, kind: str, *, k: int = 1, layers: tuple[int, ...] = (16,), gamma: float | None = None, waves: int = 256, seed: int = 1) -> None:
+        if kind not in ("normal_bayes", "bayes", "knn", "mlp", "svm"):
             raise ValueError(kind)
-        self.kind, self.k, self.layers, self.seed = kind, k, layers, seed
+        self.kind, self.k, self.layers, self.gamma, self.waves, self.seed = kind, k, layers, gamma, waves, seed
         self.clear()
 
     def clear(self) -> None:
         self.model = self.samples = None
 
-    @staticmethod
-    def _features(samples: DataFrame) -> DataFrame:
+    def _features(self, samples: DataFrame) -> DataFrame:
         from pyspark.ml.functions import array_to_vector
 
-        return samples.select("id", array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label"))
+        x = F.col("x")
+        if self.kind == "svm" and self.gamma:
+            gamma, waves, seed = self.gamma, self.waves, self.seed
+
+            @F.pandas_udf("array<double>")
+            def lifted(v: pd.Series) -> pd.Series:
+                if not len(v):
+                    return pd.Series([], dtype=object)
+                m = np.stack(v.to_numpy()).astype(float)
+                rng = np.random.default_rng(seed)
+                w, b = rng.standard_normal((m.shape[1], waves)) * np.sqrt(2 * gamma), rng.uniform(0, 2 * np.pi, waves)
+                return pd.Series(list(np.sqrt(2 / waves) * np.cos(m @ w + b)))
+
+            x = lifted("x")
+        return samples.select("id", array_to_vector(x).alias("features"), F.col("label").cast("double").alias("label"))
 
     def train(self, samples: DataFrame) -> Model:
         from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest
@@ -300,6 +424,9 @@ class Model:
         if self.kind == "knn":
             self.samples = samples
             return self
+        if self.kind == "normal_bayes":
+            self.model = NormalBayes().fit(samples)
+            return self
         if self.kind == "mlp":
             inputs, classes = samples.agg(F.max(F.size("x")), F.max("label") + 1).first()
             learner = MultilayerPerceptronClassifier(layers=[int(inputs), *self.layers, int(classes)], seed=self.seed)
@@ -311,4 +438,24 @@ class Model:
     def predict(self, samples: DataFrame) -> DataFrame:
         if self.kind == "knn":
             return knn_predict(self.samples, samples, self.k).select("id", "label", "predicted")
+        if self.kind == "normal_bayes":
+            return self.model.predict(samples)
         return self.model.transform(self._features(samples)).select("id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted"))
+
+
+def fold_of(folds: int) -> Column:
+    return F.pmod(F.col("id"), F.lit(folds)).cast("int")
+
+
+def cross_validated(model: Model, samples: DataFrame, folds: int = 5) -> DataFrame:
+    """(id, label, predicted) of every sample, by the model trained on the other folds; as many folds as samples, with ids
+    from 0 on, leave one out."""
+    parts = []
+    for k in range(folds):
+        model.clear()
+        parts.append(model.train(samples.where(fold_of(folds) != k)).predict(samples.where(fold_of(folds) == k)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def max_label(samples: DataFrame) -> DataFrame:
+    return samples.agg(F.max("label").alias("max_label"))

@@ -6,11 +6,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.functions.vectors import constant_one, euclidean, gaussian, squared_distance
+from lattica.functions.vectors import constant_one, gaussian, squared_distance
+from lattica.operators.neighbours import distances
 from lattica.plans.stored import components, cut
 
 OFFSETS = {4: [(1, 0), (0, 1)], 8: [(1, -1), (1, 0), (1, 1), (0, 1)]}
@@ -41,22 +45,22 @@ def pixel_features(pixels: DataFrame) -> DataFrame:
     return pixels.where("mask > 0").select("image_id", (F.col("r") * F.col("width") + F.col("c")).alias("pix"), F.array(F.col("c") / F.col("width"), F.col("r") / F.col("height"), F.col("b") / 500).alias("x"))
 
 
-def pairs(samples: DataFrame, keys: list[str] | None = None, *, ordered: bool = False) -> DataFrame:
-    """All pairs (keys, i, j, xi, xj) of samples(keys, id, x) with i < j, or i <> j where ordered.
-
-    Without keys this compares every sample with every other: one side is dealt out, the other goes to each task, so it
-    is meant for sets of samples of bounded size. With keys, pairs are made within each group only.
-    """
-    keys = keys or []
+def pairs(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """All ordered pairs (keys, i, j, xi, xj), i <> j, of samples(keys, id, x) within each group of bounded size (an image)."""
     a = samples.select(*keys, F.col("id").alias("i"), F.col("x").alias("xi"))
     b = samples.select(*keys, F.col("id").alias("j"), F.col("x").alias("xj"))
-    cond = F.col("i") != F.col("j") if ordered else F.col("i") < F.col("j")
-    return a.join(b, keys).where(cond) if keys else a.join(b, cond)
+    return a.join(b, keys).where("i <> j")
+
 
+def similarity(samples: DataFrame, score: Callable[[Column, Column], Column], keys: list[str]) -> DataFrame:
+    """sim(keys, i, j, s) over ordered pairs of a group. For pairs of one large set see neighbours."""
+    return pairs(samples, keys).select(*keys, "i", "j", score(F.col("xi"), F.col("xj")).alias("s"))
 
-def similarity(samples: DataFrame, score: Callable[[Column, Column], Column], keys: list[str] | None = None) -> DataFrame:
-    """sim(keys, i, j, s) over ordered pairs."""
-    return pairs(samples, keys, ordered=True).select(*(keys or []), "i", "j", score(F.col("xi"), F.col("xj")).alias("s"))
+
+def all_similarities(samples: DataFrame, sigma2: float = 1.0) -> DataFrame:
+    """sim(i, j, s) of all ordered pairs: exp(-d^2 / sigma2). As many rows as pairs, for what needs them all."""
+    d = distances(samples).select("i", "j", F.exp(-F.col("d2") / sigma2).alias("s"))
+    return d.unionByName(d.select(F.col("j").alias("i"), F.col("i").alias("j"), "s"))
 
 
 def masked(samples: DataFrame, mask: DataFrame) -> DataFrame:
@@ -66,7 +70,7 @@ def masked(samples: DataFrame, mask: DataFrame) -> DataFrame:
 
 def epsilon_graph(samples: DataFrame, radius: float) -> DataFrame:
     """(src, dst, w = 1) for i < j at a distance of at most the radius."""
-    return pairs(samples).where(euclidean(F.col("xi"), F.col("xj")) <= radius).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.lit(1.0).alias("w"))
+    return distances(samples, radius).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.lit(1.0).alias("w"))
 
 
 def _top(sim: DataFrame, k: int, keys: list[str]) -> DataFrame:
@@ -92,8 +96,9 @@ def mutual_knn_graph(sim: DataFrame, k: int) -> DataFrame:
     return t.join(back, ["i", "j"], "left_semi").where("i < j").select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("s").alias("w"))
 
 
-def complete_graph(samples: DataFrame, score: Callable[[Column, Column], Column]) -> DataFrame:
-    return pairs(samples).select(F.col("i").alias("src"), F.col("j").alias("dst"), score(F.col("xi"), F.col("xj")).alias("w"))
+def complete_graph(samples: DataFrame, score: Callable[[Column], Column]) -> DataFrame:
+    """An edge for each pair i < j, weighted by a function of its squared distance."""
+    return distances(samples).select(F.col("i").alias("src"), F.col("j").alias("dst"), score(F.col("d2")).alias("w"))
 
 
 def pixel_knn_graph(pixels: DataFrame, k: int, sigma2: float = 1.0) -> DataFrame:
@@ -160,10 +165,35 @@ def normalized_laplacian(edges: DataFrame, keys: list[str] | None = None) -> Dat
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, v, root) of every vertex: root is the least vertex of its component; a vertex without edges is its own."""
+    """(keys, v, root) of every vertex: root is the least vertex of its component; a vertex without edges is its own.
+
+    For graphs of any size, by rounds of joins.
+    """
     return vertices.select(*keys, "v").join(components(edges, keys), [*keys, "v"], "left").withColumn("root", F.coalesce("root", "v"))
 
 
+def image_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same for graphs(image_id) of at most an image's pixels: each is one task's work, and there are no rounds."""
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(np.concatenate([d["src"], d["dst"]]), return_inverse=True)
+        src, dst = at[: len(d)], at[len(d) :]
+        root = np.arange(len(names))
+        while True:  # the least root of each edge's ends, and of what their roots point to
+            low = np.minimum(root[src], root[dst])
+            new = root.copy()
+            np.minimum.at(new, root[src], low)
+            np.minimum.at(new, root[dst], low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        return pd.DataFrame({"image_id": d["image_id"].iloc[0], "v": names, "root": names[root]})
+
+    found = edges.select("image_id", "src", "dst").groupBy("image_id").applyInPandas(run, "image_id long, v long, root long")
+    return vertices.select("image_id", "v").join(found, ["image_id", "v"], "left").withColumn("root", F.coalesce("root", "v"))
+
+
 def induced_subgraphs(edges: DataFrame, comps: DataFrame, keys: list[str]) -> DataFrame:
     """Edges within a component, with ends counted anew from 0 in each."""
     w = Window.partitionBy(*keys, "root").orderBy("v")
@@ -200,7 +230,7 @@ def combine_segmentations(edges: DataFrame, segmentations: list[DataFrame]) -> D
     for s in segmentations:
         a, b = s.select("image_id", F.col("v").alias("src"), F.col("root").alias("ra")), s.select("image_id", F.col("v").alias("dst"), F.col("root").alias("rb"))
         e = e.join(a, ["image_id", "src"]).join(b, ["image_id", "dst"]).where("ra = rb").select("image_id", "src", "dst")
-    return connected_components(segmentations[0].select("image_id", "v"), e, ["image_id"])
+    return image_components(segmentations[0].select("image_id", "v"), e)
 
 
 def permute_vertices(edges: DataFrame, order: DataFrame) -> DataFrame:
@@ -218,26 +248,50 @@ def relabel(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def breadth_first(edges: DataFrame, start: int, max_depth: int = 10_000) -> DataFrame:
     """(v, depth, position) in order of visit: by depth, the parent's position, and the order edge_no of edges.
 
-    edges(src, dst, edge_no) are given both ways. Each round joins the frontier with the edges; what has been seen is
-    taken out by an anti join, and the round's result is checkpointed.
+    edges(src, dst, edge_no) are given both ways, so that a round's neighbours lie in the round before it, in itself or in
+    the next: the frontier joins the edges, and the two last frontiers are taken out. Positions within a frontier are ranks
+    in parts of its order and the parts' sizes. A graph deeper than max_depth raises ValueError.
     """
     spark = edges.sparkSession
-    seen = cut(spark.createDataFrame([(start, 0, 0)], "v long, depth int, position long"))
-    frontier, found = seen, 1
-    for depth in range(1, max_depth):
-        next_ = frontier.join(edges, F.col("v") == F.col("src")).groupBy("dst").agg(F.min(F.struct("position", "edge_no")).alias("o"))
-        next_ = next_.join(seen, F.col("dst") == F.col("v"), "left_anti")
-        w = Window.orderBy("o")  # the frontier's order is one order over all of it
-        frontier = cut(next_.select(F.col("dst").cast("long").alias("v"), F.lit(depth).alias("depth"), (F.row_number().over(w) - 1 + found).cast("long").alias("position")))
-        n = frontier.count()
-        if not n:
-            return seen
-        found += n
-        seen = cut(seen.unionByName(frontier))
-    return seen
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    frontier = cut(spark.createDataFrame([(start, 0, 0)], "v long, depth int, position long"))
+    done, before, found = [frontier], None, 1
+    for depth in range(1, max_depth + 1):
+        near = frontier.join(edges, F.col("v") == F.col("src")).groupBy("dst").agg(F.min(F.struct("position", "edge_no")).alias("o"))
+        for f in (frontier, before):
+            near = near.join(f.select(F.col("v").alias("dst")), "dst", "left_anti") if f is not None else near
+        dealt = cut(near.repartitionByRange(parts, "o").withColumn("part", F.spark_partition_id()))
+        sizes = {r[0]: r[1] for r in dealt.groupBy("part").agg(F.count("*")).collect()}  # one row for each part
+        if not sizes:
+            break
+        firsts, total = [], found
+        for p in range(parts):
+            firsts.append(total)
+            total += sizes.get(p, 0)
+        own = F.row_number().over(Window.partitionBy("part").orderBy("o")) - 1
+        position = (own + F.array(*map(F.lit, firsts))[F.col("part")]).cast("long")
+        before, frontier = frontier, cut(dealt.select(F.col("dst").cast("long").alias("v"), F.lit(depth).alias("depth"), position.alias("position")))
+        found = total
+        done.append(frontier)
+        if len(done) == 32:
+            done = [cut(reduce(DataFrame.unionByName, done))]
+    else:
+        raise ValueError(f"the graph is deeper than {max_depth}")
+    return reduce(DataFrame.unionByName, done)
 
 
 def is_maybe_planar(vertices: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """A necessary test only: edges <= 3 vertices - 6, for graphs of three vertices or more."""
     n, m = vertices.groupBy(*keys).agg(F.count("*").alias("n")), edges.groupBy(*keys).agg(F.count("*").alias("m"))
     return n.join(m, keys, "left").select(*keys, ((F.col("n") < 3) | (F.coalesce("m", F.lit(0)) <= 3 * F.col("n") - 6)).alias("maybe_planar"))
+
+
+def is_symmetric(matrix: DataFrame, keys: list[str], tolerance: float = 1e-7) -> DataFrame:
+    """(keys, symmetric) of matrices (keys, i, j, v): each entry is about that across the diagonal, 0 where there is none."""
+    at = matrix.groupBy(*keys, F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.sum(F.when(F.col("i") < F.col("j"), F.col("v")).when(F.col("i") > F.col("j"), -F.col("v")).otherwise(0.0)).alias("gap"))
+    return at.groupBy(*keys).agg((F.max(F.abs("gap")) <= tolerance).alias("symmetric"))
+
+
+def without_line(matrix: DataFrame, line: Column) -> DataFrame:
+    """A matrix (..., i, j, v) without a row and the column of the same number; those after it move up."""
+    return matrix.where((F.col("i") != line) & (F.col("j") != line)).withColumns({c: F.when(F.col(c) > line, F.col(c) - 1).otherwise(F.col(c)) for c in ("i", "j")})

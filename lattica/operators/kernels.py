@@ -6,6 +6,7 @@ Bodies follow the published methods.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOLERANCE = 1e-7
+#: Vertices up to which a graph's eigenvectors are taken from a dense matrix.
+DENSE = 1024
 
 
 # --- union-find and segmentation ---------------------------------------------------------------------------------------
@@ -121,11 +124,36 @@ def fuse_small(components: DataFrame, edges: DataFrame, mask: DataFrame, least:
 
 
 def fuse_down_to(n: int, forest: Forest, edges: list[tuple[int, int, float]]) -> None:
-    """Joins the two nearest parts, again and again, until at most n are left or no edge joins two."""
-    for a, b, _ in sorted(edges, key=lambda e: e[2]):
-        if forest.sets <= n:
-            return
-        forest.union(a, b)
+    """Joins the two parts with the least mean weight between them, again and again, until at most n are left.
+
+    A heap holds the borders; joining two parts adds up their borders to others, and what the heap has of the old ones is
+    passed over when it comes up. Parts without a border between them are never joined.
+    """
+    border: dict[int, dict[int, tuple[float, int]]] = {}
+
+    def add(a: int, b: int, w: float, k: int) -> None:
+        for x, y in ((a, b), (b, a)):
+            s, c = border.setdefault(x, {}).get(y, (0.0, 0))
+            border[x][y] = s + w, c + k
+
+    for a, b, w in edges:
+        if (i := forest.find(a)) != (j := forest.find(b)):
+            add(i, j, w, 1)
+    heap = [(s / c, a, b) for a, others in border.items() for b, (s, c) in others.items() if a < b]
+    heapq.heapify(heap)
+    while heap and forest.sets > n:
+        w, a, b = heapq.heappop(heap)
+        if b not in border.get(a, {}) or border[a][b][0] / border[a][b][1] != w:
+            continue
+        r = forest.union(a, b)
+        gone = b if r == a else a
+        border[r].pop(gone)
+        for x, (s, c) in border.pop(gone).items():
+            if x != r:
+                border[x].pop(gone)
+                add(r, x, s, c)
+        for x, (s, c) in border[r].items():
+            heapq.heappush(heap, (s / c, min(r, x), max(r, x)))
 
 
 # --- spectra -----------------------------------------------------------------------------------------------------------
@@ -180,9 +208,48 @@ def nonsymmetric_eigen(m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return values[order].real, signed(vectors[:, order].real)
 
 
-def matrix_free_eigen(times: Callable[[np.ndarray], np.ndarray], n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k smallest eigenpairs of a symmetric operator given by its product with a vector."""
-    return symmetric_eigen(np.stack([times(e) for e in np.eye(n)], axis=1), k)
+def matrix_free_eigen(times: Callable[[np.ndarray], np.ndarray], n: int, k: int, tolerance: float = 1e-9, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest eigenpairs of a symmetric operator given by its product with a vector: Lanczos with full
+    orthogonalisation, until the residuals are below the tolerance (of the largest value); no matrix of n rows is made.
+
+    An eigenvalue that occurs more than once is found again by a new start vector when the space that has been seen is
+    closed.
+    """
+    rng = np.random.default_rng(seed)
+    basis, diagonal, side = np.zeros((0, n)), [], []
+    v = rng.standard_normal(n)
+    v /= np.linalg.norm(v)
+    while True:
+        basis = np.vstack([basis, v])
+        w = times(v)
+        diagonal.append(float(v @ w))
+        for _ in range(2):
+            w = w - basis.T @ (basis @ w)
+        beta = float(np.linalg.norm(w))
+        m = len(basis)
+        closed = beta <= 1e-12 * max(1.0, max(map(abs, diagonal)))
+        if m == n or (m >= min(n, 2 * k) and (m % 5 == 0 or closed)):
+            values, y = np.linalg.eigh(np.diag(diagonal) + np.diag(side, 1) + np.diag(side, -1))
+            small = np.abs(beta * y[-1, :k]) <= tolerance * max(1.0, float(np.abs(values).max()))
+            if m == n or (not closed and len(small) == k and small.all()):
+                return values[:k], signed(basis.T @ y[:, :k])
+        if closed:
+            w = rng.standard_normal(n)
+            for _ in range(2):
+                w = w - basis.T @ (basis @ w)
+            v, beta = w / np.linalg.norm(w), 0.0
+        else:
+            v = w / beta
+        side.append(beta)
+
+
+def sparse_laplacian(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, *, normalized: bool = False) -> Callable[[np.ndarray], np.ndarray]:
+    """The product of dense_laplacian() with a vector, from the edges."""
+    ends, weights = np.concatenate([src, dst]), np.concatenate([w, w])
+    others = np.concatenate([dst, src])
+    d = np.bincount(ends, weights, n)
+    s = np.where(d > 0, 1 / np.sqrt(np.where(d > 0, d, 1)), 0) if normalized else np.ones(n)
+    return lambda x: s * (d * s * x - np.bincount(ends, weights * (s * x)[others], n))
 
 
 def spectral_embedding(edges: DataFrame, k: int, keys: str = "graph", *, normalized: bool = True, unit_rows: bool = False) -> DataFrame:
@@ -190,8 +257,11 @@ def spectral_embedding(edges: DataFrame, k: int, keys: str = "graph", *, normali
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
         names, at = np.unique(np.concatenate([d["src"], d["dst"]]), return_inverse=True)
-        m = dense_laplacian(len(names), at[: len(d)], at[len(d) :], d["w"].to_numpy(float), normalized=normalized)
-        _, v = symmetric_eigen(m, k + 1)
+        given = len(names), at[: len(d)], at[len(d) :], d["w"].to_numpy(float)
+        if len(names) <= DENSE:
+            _, v = symmetric_eigen(dense_laplacian(*given, normalized=normalized), k + 1)
+        else:
+            _, v = matrix_free_eigen(sparse_laplacian(*given, normalized=normalized), len(names), k + 1)
         v = v[:, 1:]
         if unit_rows:
             v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
@@ -330,6 +400,8 @@ def ncut_sets(w: np.ndarray, stop: float, least: int = 2) -> np.ndarray:
 
 
 def conjugate_gradient(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
+    """x of a x = b for a symmetric positive definite a, to the tolerance times b's length; ValueError where it is not reached."""
+    tolerance *= max(1.0, float(np.linalg.norm(b)))
     x, r = np.zeros_like(b, dtype=float), np.asarray(b, float).copy()
     p, rs = r.copy(), float(r @ r)
     for _ in range(10 * len(b)):
@@ -340,6 +412,8 @@ def conjugate_gradient(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-10) -
         x, r = x + alpha * p, r - alpha * ap
         new = float(r @ r)
         p, rs = r + new / rs * p, new
+    if rs > tolerance**2:
+        raise ValueError("the conjugate gradients did not converge")
     return x
 
 
@@ -466,3 +540,48 @@ def sparse_times(m: DataFrame, v: DataFrame) -> DataFrame:
     """(i, v) of a COO matrix (i, j, v) times a vector (i, v): a join and a sum."""
     x = v.select(F.col("i").alias("j"), F.col("v").alias("x"))
     return m.join(x, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+
+
+# --- kernels between labelled graphs -------------------------------------------------------------------------------------
+
+
+def kronecker_kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """1 where two labels (rows) are equal, else 0."""
+    return (x[:, None] == y[None, :]).all(axis=2).astype(float)
+
+
+def chi_squared_kernel(x: np.ndarray, y: np.ndarray, gamma: float = 1.0) -> np.ndarray:
+    """exp(-gamma * sum of (a - b)^2 / (a + b)) of labels (rows) that are histograms."""
+    both = x[:, None] + y[None, :]
+    gap = (x[:, None] - y[None, :]) ** 2
+    return np.exp(-gamma * np.divide(gap, both, out=np.zeros_like(gap), where=both > 0).sum(axis=2))
+
+
+def tree_walk_kernel(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, depth: int, arity: int, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray] = kronecker_kernel) -> float:
+    """Tree-walk kernel of two labelled graphs (adjacency a with labels x, b with y): the published recursion.
+
+    A pair of vertices counts its labels' kernel times, at each level, one and the sum over pairs of equally many
+    neighbours, from 1 to `arity` of them, of the products of their values one level below; sets of neighbours are matched
+    in every order.
+    """
+    base = kernel(x, y)
+    value = base.copy()
+    near = [np.flatnonzero(r) for r in a], [np.flatnonzero(r) for r in b]
+    for _ in range(depth - 1):
+        new = np.zeros_like(value)
+        for i, p in enumerate(near[0]):
+            for j, q in enumerate(near[1]):
+                # Sums over matchings of t neighbours with t: the coefficients of a rook polynomial, row by row.
+                rook = {(): 1.0}
+                for u in p.tolist():
+                    more = dict(rook)
+                    for used, s in rook.items():
+                        if len(used) < arity:
+                            for k, v in enumerate(q.tolist()):
+                                if k not in used and value[u, v]:
+                                    key = tuple(sorted((*used, k)))
+                                    more[key] = more.get(key, 0.0) + s * value[u, v]
+                    rook = more
+                new[i, j] = base[i, j] * sum(rook.values())
+        value = new
+    return float(value.sum())

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.functions.color import rgb_to_lab
-from lattica.operators.graphs import connected_components, grid_graph
+from lattica.functions.color import rgb_to_hsv, rgb_to_lab
+from lattica.operators.graphs import grid_graph, image_components
 
 CHANNELS = ["b", "g", "red"]
 
@@ -25,7 +27,7 @@ def resize(pixels: DataFrame, max_pixels: int = 15_000) -> DataFrame:
 def largest_component(pixels: DataFrame) -> DataFrame:
     """Only the largest 4-connected part of each mask is kept (ties: that with the first pixel)."""
     fg = pixels.where("mask >= 0.5").select("image_id", (F.col("r") * F.col("width") + F.col("c")).alias("v"))
-    comps = connected_components(fg, grid_graph(pixels, 4, features=CHANNELS[:1]), ["image_id"])
+    comps = image_components(fg, grid_graph(pixels, 4, features=CHANNELS[:1]))
     w = Window.partitionBy("image_id").orderBy(F.desc("size"), "root")
     best = comps.groupBy("image_id", "root").agg(F.count("*").alias("size")).withColumn("n", F.row_number().over(w)).where("n = 1").select("image_id", "root")
     keep = comps.join(best, ["image_id", "root"], "left_semi").select("image_id", "v", F.lit(1.0).alias("kept"))
@@ -33,31 +35,47 @@ def largest_component(pixels: DataFrame) -> DataFrame:
     return p.withColumn("mask", F.coalesce("kept", F.lit(0.0))).drop("v", "kept")
 
 
+def smoothed(x: np.ndarray, half: int) -> np.ndarray:
+    """kuwahara() of one image [row, column, channel]."""
+    h, w, k = x.shape
+    out, least = x.copy(), np.full((h, w), np.inf)
+    if h <= half or w <= half:
+        return out
+    for left in (True, False):
+        for up in (True, False):
+            rows = np.arange(half, h) if up else np.arange(h - half)
+            cols = np.arange(half, w) if left else np.arange(w - half)
+            window = np.lib.stride_tricks.sliding_window_view(x, (half, half), axis=(0, 1))  # [row, column, channel, half, half]
+            seen = window[(rows - half if up else rows)[:, None], (cols - half if left else cols)[None, :]]
+            mean = seen.mean(axis=(3, 4))
+            spread = np.sqrt(((seen - mean[..., None, None]) ** 2).sum(axis=2)).mean(axis=(2, 3)).round(9)
+            at = np.ix_(rows, cols)
+            better = spread < least[at]
+            least[at] = np.where(better, spread, least[at])
+            out[at] = np.where(better[..., None], mean, out[at])
+    return out
+
+
 def kuwahara(pixels: DataFrame, half: int = 5, channels: list[str] | None = None) -> DataFrame:
     """Each pixel becomes the mean of the quadrant with the least mean distance to its mean (ties: the first quadrant).
 
-    Quadrants are half-open squares of `half` pixels up or down and left or right; one is used only where it lies
-    strictly inside the image. Where none does, the pixel stays as it is. The mask plays no part.
+    Quadrants are half-open squares of `half` pixels up or down and left or right, in that order; one is used only where it
+    lies strictly inside the image. Where none does, the pixel stays as it is. The mask plays no part. An image, whose size
+    resize() bounds, is one task's work.
     """
     channels = channels or CHANNELS
-    side = {0: (-half, 0), 1: (0, half)}
-    corners = [(q, *side[q % 2], *side[q // 2]) for q in range(4)]
-    base = pixels.select("image_id", "r", "c", "height", "width", *channels)
-    offsets = F.explode(F.flatten(F.array(*(F.array(*(F.struct(F.lit(q).alias("q"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in range(r0, r1) for dc in range(c0, c1))) for q, r0, r1, c0, c1 in corners)))).alias("o")
-    centre = base.select("image_id", F.col("r").alias("r0"), F.col("c").alias("c0"), "height", "width", offsets).select("*", "o.*").drop("o")
-    up, left = F.col("q") % 2 == 0, F.floor(F.col("q") / 2) == 0
-    fits = F.when(up, F.col("r0") - half >= 0).otherwise(F.col("r0") + half < F.col("height")) & F.when(left, F.col("c0") - half >= 0).otherwise(F.col("c0") + half < F.col("width"))
-    near = centre.where(fits).withColumn("r", F.col("r0") + F.col("dr")).withColumn("c", F.col("c0") + F.col("dc"))
-    seen = near.join(base.drop("height", "width"), ["image_id", "r", "c"])
-    by = ["image_id", "r0", "c0", "q"]
-    means = seen.groupBy(*by).agg(*(F.avg(ch).alias(f"m_{ch}") for ch in channels), F.collect_list(F.struct(*channels)).alias("all"))  # half * half pixels
-    distance = lambda x: F.sqrt(sum((x[ch] - F.col(f"m_{ch}")) * (x[ch] - F.col(f"m_{ch}")) for ch in channels))
-    deviation = F.aggregate(F.transform("all", distance), F.lit(0.0), lambda s, x: s + x) / F.size("all")
-    best = means.withColumn("dev", F.round(deviation, 9)).groupBy("image_id", F.col("r0").alias("r"), F.col("c0").alias("c")).agg(F.min_by(F.struct(*(f"m_{ch}" for ch in channels)), F.struct("dev", "q")).alias("m"))
-    out = pixels.join(best, ["image_id", "r", "c"], "left")
-    for ch in channels:
-        out = out.withColumn(ch, F.coalesce(F.col(f"m.m_{ch}"), F.col(ch)))
-    return out.drop("m")
+    names = ["image_id", "r", "c", *channels]
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        x = np.zeros((int(d["height"].iloc[0]), int(d["width"].iloc[0]), len(channels)))
+        x[d["r"], d["c"]] = d[channels].to_numpy(float)
+        d = d[names].copy()
+        d[channels] = smoothed(x, half)[d["r"], d["c"]]
+        return d
+
+    smooth = pixels.select(*names, "height", "width").groupBy("image_id").applyInPandas(run, "image_id long, r int, c int, " + ", ".join(f"{c} double" for c in channels))
+    rest = pixels.drop(*channels)
+    return rest.join(smooth, ["image_id", "r", "c"]).select(*pixels.columns)
 
 
 def to_lab(pixels: DataFrame, scale: float = 255.0) -> DataFrame:
@@ -93,3 +111,30 @@ def channel_histograms(pixels: DataFrame, bins: int, low: float = 0.0, high: flo
 
 def foreground_count(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg(F.count_if(F.col("mask") != 0).alias("n"))
+
+
+#: The spellings of "kept" that operators use, each with its own bound.
+PREDICATES = {"at_least_half": lambda m: m >= 0.5, "above_zero": lambda m: m > 0, "above_half": lambda m: m > 0.5, "not_above_zero": lambda m: m <= 0, "below_half": lambda m: m < 0.5, "not_zero": lambda m: m != 0}
+
+
+def kept(mask: Column, predicate: str) -> Column:
+    return PREDICATES[predicate](mask)
+
+
+def rescale_channels(pixels: DataFrame, channels: list[str] | None = None) -> DataFrame:
+    """Each channel of an image spread from its least to its greatest value over 0 to 1 (for display); a flat one is 0."""
+    w = Window.partitionBy("image_id")
+    spread = lambda c: F.max(c).over(w) - F.min(c).over(w)
+    return pixels.withColumns({c: F.when(spread(c) > 0, (F.col(c) - F.min(c).over(w)) / spread(c)).otherwise(0.0) for c in channels or CHANNELS})
+
+
+def equalize_hue(pixels: DataFrame) -> DataFrame:
+    """pixels with hue: degrees, by rank among an image's kept pixels spread over the circle."""
+    return equalize(pixels.withColumn("hue", rgb_to_hsv(F.col("red"), F.col("g"), F.col("b"))[0]), "hue", 0.0, 360.0)
+
+
+def stacked(top: DataFrame, bottom: DataFrame, keys: list[str]) -> DataFrame:
+    """Matrices (keys, i, j, v) one above the other: the lower one's rows are counted on from the upper one's last."""
+    n = top.groupBy(*keys).agg((F.max("i") + 1).alias("n"))
+    low = bottom.join(n, keys, "left").select(*keys, (F.col("i") + F.coalesce("n", F.lit(0))).alias("i"), "j", "v")
+    return top.select(*keys, "i", "j", "v").unionByName(low)

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.color import lab_to_rgb, rgb_to_hsv
-from lattica.operators.graphs import connected_components
-from lattica.plans.stored import cut
+from lattica.functions.vectors import euclidean
+from lattica.operators.graphs import connected_components, grid_graph, image_components
+from lattica.operators.kernels import felzenszwalb, fuse_small
 
 
 def root_index(components: DataFrame) -> DataFrame:
@@ -45,19 +46,23 @@ def segment_lists(segments: DataFrame) -> DataFrame:
     return segments.groupBy("image_id", "seg_idx").agg(F.concat(F.lit("{"), F.concat_ws(", ", F.array_sort(F.collect_list("pix"))), F.lit("}")).alias("members"))
 
 
+def index_color(index: Column) -> list[Column]:
+    """Blue, green and red of an index: bytes of its product with a large odd number, so that near indexes look unlike."""
+    h = (index.cast("long") + 1) * 2_654_435_761
+    return [F.pmod(F.floor(h / (1 << s)), F.lit(256)).cast("int") for s in (8, 16, 24)]
+
+
 def region_image(segments: DataFrame, palette: DataFrame | None = None) -> DataFrame:
-    """(image_id, pix, b, g, red): each segment in its palette(seg_idx, b, g, red) colour, else one by a hash of its index."""
+    """(image_id, pix, b, g, red): each segment in its palette(seg_idx, b, g, red) colour, else one by its index."""
     if palette is not None:
         return segments.join(palette, "seg_idx", "left").select("image_id", "pix", "b", "g", "red")
-    h = F.xxhash64("seg_idx")
-    return segments.select("image_id", "pix", *(F.pmod(F.shiftrightunsigned(h, s), F.lit(256)).cast("int").alias(n) for n, s in (("b", 0), ("g", 8), ("red", 16))))
+    return segments.select("image_id", "pix", *(x.alias(n) for x, n in zip(index_color(F.col("seg_idx")), ("b", "g", "red"), strict=True)))
 
 
 def matching_image(segments: DataFrame, matches: DataFrame) -> DataFrame:
-    """Pixels of matched segments (seg_idx, match) in the match's colour, the others black."""
-    h = F.xxhash64("match")
-    s = segments.join(matches, "seg_idx", "left")
-    return s.select("image_id", "pix", *(F.when(F.col("match").isNull(), 0).otherwise(F.pmod(F.shiftrightunsigned(h, k), F.lit(256))).cast("int").alias(n) for n, k in (("b", 0), ("g", 8), ("red", 16))))
+    """Pixels of matched segments (image_id, seg_idx, match) in the match's colour, the others black."""
+    s = segments.join(matches, ["image_id", "seg_idx"], "left")
+    return s.select("image_id", "pix", *(F.when(F.col("match").isNull(), 0).otherwise(x).alias(n) for x, n in zip(index_color(F.col("match")), ("b", "g", "red"), strict=True)))
 
 
 def _hue(lightness: Column, a: Column, b: Column) -> Column:
@@ -84,11 +89,13 @@ def segment_attributes(pixels: DataFrame, segments: DataFrame, channels: list[st
 def segment_ellipses(pixels: DataFrame, segments: DataFrame) -> DataFrame:
     """(image_id, seg_idx, major, minor, angle): axes of the pixels' scatter over the diagonal, and the angle from the row axis.
 
-    The angle lies in 0 to pi/2, as an axis has no sign. The mask plays no part.
+    The angle lies in 0 to pi/2, as an axis has no sign, and is 0 where the axes are equal. The mask plays no part. Sums are
+    of whole numbers, so that a round segment's scatter has no direction by rounding.
     """
     p = pixels.withColumn("pix", F.col("r") * F.col("width") + F.col("c")).join(segments, ["image_id", "pix"])
-    s = p.groupBy("image_id", "seg_idx").agg(F.count("*").alias("n"), F.var_pop("r").alias("rr"), F.var_pop("c").alias("cc"), F.covar_pop("r", "c").alias("rc"), F.max("height").alias("h"), F.max("width").alias("w"))
-    s = s.withColumns({k: F.col(k) * F.col("n") for k in ("rr", "cc", "rc")})
+    r, c, n = F.col("r").cast("long"), F.col("c").cast("long"), F.count("*")
+    scatter = lambda a, b: (n * F.sum(a * b) - F.sum(a) * F.sum(b)) / n
+    s = p.groupBy("image_id", "seg_idx").agg(scatter(r, r).alias("rr"), scatter(c, c).alias("cc"), scatter(r, c).alias("rc"), F.max("height").alias("h"), F.max("width").alias("w"))
     mid, gap = (F.col("rr") + F.col("cc")) / 2, F.sqrt(F.pow((F.col("rr") - F.col("cc")) / 2, F.lit(2.0)) + F.col("rc") * F.col("rc"))
     diag = F.sqrt(F.col("h") * F.col("h") + F.col("w") * F.col("w"))
     axis = lambda v: 2 * F.sqrt(F.greatest(F.lit(0.0), v)) / diag
@@ -163,23 +170,42 @@ def fuse_by_hue(segments: DataFrame, hues: DataFrame) -> DataFrame:
     n = F.count("*").over(Window.partitionBy("image_id"))
     near = p.withColumns({"k": F.row_number().over(w), "n": n}).where(F.col("k") <= F.floor(F.col("n") / 10)).select("image_id", "src", "dst")
     vertices = segments.select("image_id", F.col("seg_idx").alias("v")).distinct()
-    return connected_components(vertices, cut(near), ["image_id"]).withColumnRenamed("v", "seg_idx")
+    return image_components(vertices, near).withColumnRenamed("v", "seg_idx")
 
 
 def fuse_close(segments: DataFrame, adjacency: DataFrame, labels: DataFrame, limit: float) -> DataFrame:
     """(image_id, v, root): adjacent segments whose labels (image_id, seg_idx, x) are at most `limit` apart are fused."""
-    from lattica.functions.vectors import euclidean
-
     s, d = labels.select("image_id", F.col("seg_idx").alias("src"), F.col("x").alias("xa")), labels.select("image_id", F.col("seg_idx").alias("dst"), F.col("x").alias("xb"))
     near = adjacency.join(s, ["image_id", "src"]).join(d, ["image_id", "dst"]).where(euclidean(F.col("xa"), F.col("xb")) <= limit).select("image_id", "src", "dst")
-    return connected_components(segments.select("image_id", F.col("seg_idx").alias("v")).distinct(), near, ["image_id"])
+    return image_components(segments.select("image_id", F.col("seg_idx").alias("v")).distinct(), near)
 
 
 def color_segmentation(pixels: DataFrame, channels: list[str]) -> DataFrame:
-    """components: kept pixels of one exact colour are a segment, wherever they lie; the others join an element after the last.
-
-    Small parts are not fused here: kernels.fuse_small does that, in edge order.
-    """
+    """components: kept pixels of one exact colour are a segment, wherever they lie; the others join an element after the last."""
     pix = F.col("r") * F.col("width") + F.col("c")
     first = F.min(pix).over(Window.partitionBy("image_id", F.col("mask") > 0, *channels))
     return pixels.select("image_id", pix.alias("pix"), F.when(F.col("mask") > 0, first).otherwise(F.col("height") * F.col("width")).alias("root"))
+
+
+def manual_segmentation(pixels: DataFrame, channels: list[str], least: int = 25) -> DataFrame:
+    """color_segmentation() of a colour-coded image, with kept parts of fewer than `least` pixels fused to a neighbour."""
+    p = pixels.select("image_id", (F.col("r") * F.col("width") + F.col("c")).alias("pix"), "mask")
+    parts = color_segmentation(pixels, channels).join(p, ["image_id", "pix"])
+    kept = parts.where("mask > 0").select("image_id", "pix", "root")
+    fused = fuse_small(kept, grid_graph(pixels, 4, features=channels[:1]), p, least)
+    return fused.unionByName(parts.where("mask <= 0").select(*fused.columns))
+
+
+def segment(pixels: DataFrame, channels: list[str], k: float = 1000.0, parts: int = 500, *, lab: bool = False) -> DataFrame:
+    """segments(image_id, pix, root, seg_idx) of pixels: the grid graph of colour distances, cut by felzenszwalb() with the
+    volume's scale and a least size of kept pixels over `parts`, and then fused by hue.
+
+    lab: the channels are L, a, b. All pixels that the mask leaves out are one segment, which hue fuses with no other as
+    long as it holds the first pixel.
+    """
+    first = root_index(felzenszwalb(pixels, grid_graph(pixels, 4, euclidean, channels), k, parts))
+    hues = segment_attributes(pixels, first, channels, lab=lab).select("image_id", "seg_idx", "hue")
+    fused = fuse_by_hue(first, hues).withColumnRenamed("root", "into")
+    least = first.groupBy("image_id", F.col("seg_idx").alias("into")).agg(F.min("pix").alias("root"))
+    joined = first.select("image_id", "pix", "seg_idx").join(fused, ["image_id", "seg_idx"]).join(least, ["image_id", "into"])
+    return root_index(joined.select("image_id", "pix", "root"))
