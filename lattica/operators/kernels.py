@@ -209,38 +209,29 @@ def nonsymmetric_eigen(m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def matrix_free_eigen(times: Callable[[np.ndarray], np.ndarray], n: int, k: int, tolerance: float = 1e-9, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """The k smallest eigenpairs of a symmetric operator given by its product with a vector: Lanczos with full
-    orthogonalisation, until the residuals are below the tolerance (of the largest value); no matrix of n rows is made.
+    """The k smallest eigenpairs of a symmetric operator given by its product with a vector; no matrix of n rows is made.
 
-    An eigenvalue that occurs more than once is found again by a new start vector when the space that has been seen is
-    closed.
+    Block Lanczos with full orthogonalisation, k vectors at a time, so that values which occur up to k times are all found;
+    it ends when the residuals are below the tolerance (of the largest value) or the whole space has been seen.
     """
     rng = np.random.default_rng(seed)
-    basis, diagonal, side = np.zeros((0, n)), [], []
-    v = rng.standard_normal(n)
-    v /= np.linalg.norm(v)
+    k = min(k, n)
+    basis, image = np.zeros((n, 0)), np.zeros((n, 0))
+    block = np.linalg.qr(rng.standard_normal((n, k)))[0]
     while True:
-        basis = np.vstack([basis, v])
-        w = times(v)
-        diagonal.append(float(v @ w))
+        basis = np.hstack([basis, block])
+        image = np.hstack([image, np.stack([times(v) for v in block.T], axis=1)])
+        h = basis.T @ image
+        values, y = np.linalg.eigh((h + h.T) / 2)
+        vectors = basis @ y[:, :k]
+        gap = np.linalg.norm(image @ y[:, :k] - vectors * values[:k], axis=0)
+        if basis.shape[1] == n or (basis.shape[1] > 2 * k and (gap <= tolerance * max(1.0, float(np.abs(values).max()))).all()):
+            return values[:k], signed(vectors)
+        block = np.hstack([image[:, -block.shape[1] :], rng.standard_normal((n, 1))])[:, : n - basis.shape[1]]
         for _ in range(2):
-            w = w - basis.T @ (basis @ w)
-        beta = float(np.linalg.norm(w))
-        m = len(basis)
-        closed = beta <= 1e-12 * max(1.0, max(map(abs, diagonal)))
-        if m == n or (m >= min(n, 2 * k) and (m % 5 == 0 or closed)):
-            values, y = np.linalg.eigh(np.diag(diagonal) + np.diag(side, 1) + np.diag(side, -1))
-            small = np.abs(beta * y[-1, :k]) <= tolerance * max(1.0, float(np.abs(values).max()))
-            if m == n or (not closed and len(small) == k and small.all()):
-                return values[:k], signed(basis.T @ y[:, :k])
-        if closed:
-            w = rng.standard_normal(n)
-            for _ in range(2):
-                w = w - basis.T @ (basis @ w)
-            v, beta = w / np.linalg.norm(w), 0.0
-        else:
-            v = w / beta
-        side.append(beta)
+            block = block - basis @ (basis.T @ block)
+        block = np.linalg.qr(block)[0]
+        block = np.linalg.qr(block - basis @ (basis.T @ block))[0]
 
 
 def sparse_laplacian(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, *, normalized: bool = False) -> Callable[[np.ndarray], np.ndarray]:
@@ -408,7 +399,9 @@ def conjugate_gradient(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-10) -
         if rs <= tolerance**2:
             break
         ap = a @ p
-        alpha = rs / float(p @ ap)
+        if (bent := float(p @ ap)) <= 0:
+            raise ValueError("the matrix is not positive definite")
+        alpha = rs / bent
         x, r = x + alpha * p, r - alpha * ap
         new = float(r @ r)
         p, rs = r + new / rs * p, new

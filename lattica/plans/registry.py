@@ -913,9 +913,10 @@ def pattern_classifier(spark, d):
 
 _NB = """c AS (SELECT id, label, unnest(range(64)) AS k, unnest(x) AS v FROM s), {folds}
 m AS (SELECT f, c.label, k, avg(v) AS mu, avg(v * v) - avg(v) * avg(v) AS var FROM c JOIN f ON {inside} GROUP BY ALL),
-n AS (SELECT f, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY f) AS total FROM s JOIN f ON {inside_s} GROUP BY ALL),
+n0 AS (SELECT f, label, count(*) AS n FROM s JOIN f ON {inside_s} GROUP BY ALL), n AS (SELECT *, sum(n) OVER (PARTITION BY f) AS total FROM n0),
 a AS (SELECT f, k, avg(v * v) - avg(v) * avg(v) AS var FROM c JOIN f ON {inside} GROUP BY ALL), e AS (SELECT f, 1e-9 * max(var) AS eps FROM a GROUP BY f),
-l AS (SELECT c.id, c.label, m.label AS predicted, m.f, -0.5 * sum(ln(2 * pi() * (var + eps)) + (v - mu) ** 2 / (var + eps)) AS s FROM c JOIN m ON {outside} AND m.k = c.k JOIN e USING (f) GROUP BY ALL),
+l0 AS (SELECT c.id, c.label, m.label AS predicted, m.f, ln(2 * pi() * (var + eps)) + (v - mu) ** 2 / (var + eps) AS t FROM c JOIN m ON {outside} AND m.k = c.k JOIN e ON e.f = m.f),
+l AS (SELECT id, label, predicted, f, -0.5 * sum(t) AS s FROM l0 GROUP BY ALL),
 q AS (SELECT l.*, l.s + ln(n.n / n.total) AS score FROM l JOIN n ON n.f = l.f AND n.label = l.predicted)
 SELECT id, label, predicted FROM q QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, predicted) = 1"""
 

@@ -92,3 +92,38 @@ def test_modulated_similarity():
     x = np.concatenate([np.random.default_rng(1).normal(0, 0.3, (10, 2)), np.random.default_rng(2).normal(3, 0.3, (10, 2))])
     s = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2))
     assert modulated_similarity_predict(s, np.repeat([0, 1], 10), np.exp(-((x - [3, 3]) ** 2).sum(axis=1)), 2) == 1
+
+
+@pytest.mark.parametrize("normalized", [False, True])
+def test_lanczos_on_a_sparse_graph(normalized):
+    """Also with an eigenvalue that occurs twice: the graph has two equal parts."""
+    rng = np.random.default_rng(3)
+    src, dst, w = rng.integers(0, 60, 200), rng.integers(0, 60, 200), rng.random(200)
+    src, dst, w = (np.concatenate([a[src != dst], b[src != dst]]) for a, b in ((src, src + 60), (dst, dst + 60), (w, w)))
+    m = K.dense_laplacian(120, src, dst, w, normalized=normalized)
+    v, e = K.matrix_free_eigen(K.sparse_laplacian(120, src, dst, w, normalized=normalized), 120, 6)
+    assert np.allclose(v, np.linalg.eigvalsh(m)[:6], atol=1e-6) and np.allclose(m @ e, e * v, atol=1e-5)
+
+
+def test_conjugate_gradient_says_when_it_fails():
+    with pytest.raises(ValueError):
+        K.conjugate_gradient(np.array([[0.0, 1.0], [-1.0, 0.0]]), np.array([1.0, 0.0]))
+
+
+def test_fuse_down_to():
+    edges = [(0, 1, 5.0), (1, 2, 1.0), (2, 3, 2.0), (3, 0, 9.0), (0, 2, 4.0)]
+    f = K.Forest(5)
+    K.fuse_down_to(3, f, edges)  # 1-2 first, then 12-3 at 2; 0-12 would be at 4.5
+    assert f.find(1) == f.find(2) == f.find(3) != f.find(0) and f.sets == 3
+    K.fuse_down_to(1, f, edges)
+    assert f.sets == 2  # vertex 4 has no edge
+
+
+def test_tree_walk_kernel():
+    a, x = weights([(0, 1), (1, 2)], 3), np.array([[1], [2], [1]])
+    # Depth 1 counts pairs of equal labels; depth 2 adds the sets of neighbours that match: 1-2-1 against itself.
+    assert K.tree_walk_kernel(a, x, a, x, 1, 2) == 5
+    ends, middle = 4 * (1 + 1), 1 + 4 + 2  # none, one of 2 x 2 pairs, both in two orders
+    assert K.tree_walk_kernel(a, x, a, x, 2, 2) == ends + middle
+    assert K.tree_walk_kernel(a, x, a, x, 2, 1) == ends + 5
+    assert K.chi_squared_kernel(np.array([[1.0, 0.0]]), np.array([[1.0, 0.0], [0.0, 1.0]])).tolist() == [[1.0, np.exp(-2.0)]]

@@ -46,16 +46,13 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["felzenszwalb", "fuse_small", "spectral_embedding", "pattern_vectors", "isoperimetric_partition", "canonical_angles", "fuzzy_engine", "lle"])
-def test_kernel_query(spark, name):
-    assert R.QUERIES[name](spark, SF).count() > 0
-
-
 def test_breadth_first_golden(spark):
     e = [(0, 1), (0, 2), (1, 3), (1, 4), (1, 5), (2, 5), (2, 6), (4, 7)]
     both = [x for a, b in e for x in ((a, b), (b, a))]
     df = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(both)], "src int, dst int, edge_no int")
     assert [r.v for r in G.breadth_first(df, 5).orderBy("position").collect()] == [5, 1, 2, 0, 3, 4, 6, 7]
+    with pytest.raises(ValueError):
+        G.breadth_first(df, 5, max_depth=1)
 
 
 def test_partitions(spark):
@@ -63,6 +60,8 @@ def test_partitions(spark):
     v = spark.createDataFrame([(1, i) for i in range(5)], "g int, v long")
     comp = G.connected_components(v, e, ["g"])
     assert sorted((r.v, r.root) for r in comp.collect()) == [(0, 0), (1, 0), (2, 2), (3, 2), (4, 4)]
+    small = G.image_components(v.withColumnRenamed("g", "image_id"), e.withColumnRenamed("g", "image_id"))
+    assert sorted((r.v, r.root) for r in small.collect()) == [(0, 0), (1, 0), (2, 2), (3, 2), (4, 4)]
     assert sorted((r.root, r.src, r.dst) for r in G.induced_subgraphs(e, comp, ["g"]).collect()) == [(0, 0, 1), (2, 0, 1)]
     m = G.remove_isolated(v, e, ["g"])
     assert sorted((r.v, r.root) for r in G.add_isolated(m, spark.createDataFrame([(1, i, 0) for i in range(4)], "g int, new int, root long"), ["g"]).collect())[-1] == (4, 4)
