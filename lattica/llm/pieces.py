@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from lattica.llm.common import batches, read, tuned
 
 SPACE = "▁"
 #: Most chunks that a worker remembers in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
+#: Characters up to which a chunk's agenda is searched rather than kept as a heap.
+SHORT = 40
 
 
 def default_model() -> str:
@@ -24,14 +27,14 @@ def default_model() -> str:
 
 
 class Pieces:
-    """The pieces of a merge-type model, and texts' ids and decodings; the library serves to read the model and to check."""
+    """The pieces of a merge-type model, and texts' ids; the library serves to read the model, to check and to decode."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
         self.library = m = sentencepiece.SentencePieceProcessor(model_file=path)
         n = m.get_piece_size()
-        self.text = [m.id_to_piece(i) for i in range(n)]
+        self.text, self.names = [m.id_to_piece(i) for i in range(n)], [str(i) for i in range(n)]
         normal = [i for i in range(n) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
         self.ids = {self.text[i]: i for i in normal}
         # Rank of a piece in the agenda: higher scores first.
@@ -42,24 +45,28 @@ class Pieces:
         self.bytes = {int(self.text[i][1:-1], 16): i for i in range(n) if m.is_byte(i)}
         self.unknown = m.unk_id()
         self.user = [self.text[i] for i in normal if m.get_score(i) == 0.0 and len(self.text[i]) > 1]
-        # No piece has a space mark after another character, so nothing is merged across one.
-        assert not any(SPACE in p.lstrip(SPACE) for p in self.ids), "pieces that span words"
-        self.young: dict[str, tuple[str, int, str]] = {}
-        self.old: dict[str, tuple[str, int, str]] = {}
+        # No piece has a space mark after another character, so nothing is merged across one; nor between two characters
+        # that stand side by side in no piece.
+        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+            raise ValueError("only models without pieces that span words can be used")
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.old: dict[str, tuple[str, tuple[int, ...]]] = {}
         # Whether the model maps what it reads: a model with the identity rule only adds and escapes spaces.
         probe = "Aé ﬁ　x  y "
-        self.identity = m.encode(probe, out_type=str) == self._pieces(self.normalized(probe))
-        if not self.identity:
+        if m.encode(probe, out_type=str) != [self.text[i] for c in self.chunks(self.normalized(probe)) for i in self.merge(c)]:
             raise ValueError("only models that keep characters and spaces as they are can be used")
+        # What a text that starts with a line end has before its rest: behind it, any run can be checked as it is.
+        self.lead = m.encode("\n")
+        if SPACE + "\n" in self.inside or any(p[0] == "\n" for p in self.inside):
+            raise ValueError("only models without pieces that go on after a line end can be used")
 
     @staticmethod
     def normalized(text: str) -> str:
         """The text with a space before it and all spaces marked; an empty text stays empty."""
         return SPACE + text.replace(" ", SPACE) if text else ""
 
-    def _pieces(self, marked: str) -> list[str]:
-        return [self.text[i] for c in self.chunks(marked) for i in self.merge(c)]
-
     @staticmethod
     def chunks(marked: str) -> list[str]:
         """Runs that begin where a space mark follows another character: merges stay within them."""
@@ -67,6 +74,33 @@ class Pieces:
 
     def merge(self, chunk: str) -> list[int]:
         """Ids of one chunk: the agenda's best pair (rank, then leftmost) is merged until none is left."""
+        out: list[int] = []
+        for s in self.merged_short(chunk) if len(chunk) <= SHORT else self.merged_long(chunk):
+            if (i := self.ids.get(s)) is not None:
+                out.append(i)
+            elif self.bytes:
+                out.extend(self.bytes[b] for b in s.encode())
+            else:
+                out.append(self.unknown)
+        return out
+
+    def merged_short(self, chunk: str) -> list[str]:
+        """Symbols of a short chunk: the agenda is a list of the adjacent pairs' ranks, searched whole for the least."""
+        get, none, symbols = self.rank.get, len(self.rank) + 1, list(chunk)
+        agenda = [get(chunk[i : i + 2], none) for i in range(len(chunk) - 1)]
+        while agenda and (best := min(agenda)) != none:
+            i = agenda.index(best)
+            pair = symbols[i] + symbols[i + 1]
+            symbols[i : i + 2] = [pair]
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = get(pair + symbols[i + 1], none)
+            if i:
+                agenda[i - 1] = get(symbols[i - 1] + pair, none)
+        return symbols
+
+    def merged_long(self, chunk: str) -> list[str]:
+        """Symbols of a chunk of any length: the agenda is a heap, and symbols are linked to their neighbours."""
         rank = self.rank
         symbols: list[str] = list(chunk)
         n = len(symbols)
@@ -89,41 +123,38 @@ class Pieces:
                     heapq.heappush(agenda, (rank[new], i, new))
             if (h := before[i]) >= 0 and (new := symbols[h] + pair) in rank:
                 heapq.heappush(agenda, (rank[new], h, new))
-        out: list[int] = []
-        for s in symbols:
-            if s:
-                if (i := self.ids.get(s)) is not None:
-                    out.append(i)
-                elif self.bytes:
-                    out.extend(self.bytes[b] for b in s.encode())
-                else:
-                    out.append(self.unknown)
+        return [s for s in symbols if s]
+
+    def parts(self, chunk: str) -> list[str]:
+        """The chunk, cut where two characters stand side by side in no piece."""
+        inside, out, at = self.inside, [], 0
+        for i in range(1, len(chunk)):
+            if chunk[i - 1 : i + 1] not in inside:
+                out.append(chunk[at:i])
+                at = i
+        out.append(chunk[at:])
         return out
 
-    def decoded(self, ids: list[int]) -> str:
-        """Pieces joined, space marks as spaces; byte pieces as UTF-8."""
-        out: list[bytes] = []
-        for i in ids:
-            t = self.text[i]
-            out.append(bytes([int(t[1:-1], 16)]) if self.library.is_byte(i) else t.replace(SPACE, " ").encode())
-        return b"".join(out).decode("utf-8", "replace")
-
     def learn(self, chunks: list[str]) -> None:
-        """Encodes chunks not yet known; the library must agree on the ids of those of more than one character that do not
-        start with two marks. Decoding is our own, and not compared.
-
-        A chunk of one mark and a word is what the library makes of the word alone.
-        """
-        found = {c: self.merge(c) for c in chunks}
-        plain = [c for c in chunks if not c.startswith(SPACE * 2)]
-        for c, ids in zip(plain, self.library.encode([c[1:] for c in plain], num_threads=1), strict=True):
-            if ids != found[c] and len(c) > 1:
-                raise ValueError(f"the library encodes {c!r} as {ids}, not {found[c]}")
-        for c, ids in found.items():
-            self.young[c] = (",".join(map(str, ids)), len(ids), self.decoded(ids))
-
-    def look_up(self, texts: list[str]) -> list[list[tuple[str, int, str]]]:
-        """For each text, what is known of each of its chunks: ids joined by commas, their number, and the decoded text."""
+        """Encodes chunks not yet known, part by part; the library must agree on the ids of every new part."""
+        cut = [self.parts(c) for c in chunks]
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        new = list({p for parts in cut for p in parts if p not in self.known})
+        for i in range(0, len(new), 2000):
+            some = new[i : i + 2000]
+            for p, ids in zip(some, self.library.encode(["\n" + p for p in some], num_threads=1), strict=True):
+                own = self.merge(p)
+                if self.lead + own != ids:
+                    raise ValueError(f"the library encodes {p!r} as {ids[len(self.lead):]}, not {own}")
+                self.known[p] = tuple(own)
+        known, names, young = self.known, self.names, self.young
+        for c, parts in zip(chunks, cut, strict=True):
+            ids = known[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable([known[p] for p in parts]))
+            young[c] = (",".join([names[i] for i in ids]), ids)
+
+    def look_up(self, texts: list[str]) -> list[list[tuple[str, tuple[int, ...]]]]:
+        """For each text, the ids of each of its chunks: joined by commas, and as they are."""
         cut = [self.chunks(self.normalized(t)) for t in texts]
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
@@ -141,7 +172,7 @@ class Pieces:
         return [[young[c] for c in cs] for cs in cut]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _, _ in self.look_up([text])[0] for i in ids.split(",")]
+        return [i for _, ids in self.look_up([text])[0] for i in ids]
 
 
 _models: dict[str, Pieces] = {}
@@ -158,10 +189,11 @@ RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def encoded(docs: DataFrame, path: str, *, with_ids: bool = False) -> DataFrame:
-    """Every text of docs(doc_id, text) encoded and decoded: number of ids and both digests, and the ids if asked for.
+    """Every text of docs(doc_id, text) encoded, and decoded by the library: number of ids, both digests, ids if asked for.
 
-    Null texts are empty: no ids. Texts of any length are cut into chunks, so memory is bounded by a batch and the
-    remembered chunks. Rows stay as they are, repeated or not; other columns go.
+    Null texts are empty: no ids. Texts of any length are cut into chunks, so memory is bounded by a batch, or a text, and
+    what is remembered. Rows stay as they are, repeated or not; other columns go. A part on which the library disagrees
+    raises ValueError.
     """
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * with_ids
     schema = pa.schema(fields)
@@ -169,11 +201,11 @@ def encoded(docs: DataFrame, path: str, *, with_ids: bool = False) -> DataFrame:
     def run(it) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for b in batches(it, rows=250, size=2 << 20):
-            rows = []
-            for i, known in zip(b.column(0).to_pylist(), m.look_up([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                ids = ",".join([x[0] for x in known])
-                text = "".join([x[2] for x in known])[1:]  # decoding leaves out the space that encoding put first
-                rows.append((i, sum([x[1] for x in known]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) + (([int(x) for x in ids.split(",") if x],) if with_ids else ()))
+            rows, found = [], m.look_up([t or "" for t in b.column(1).to_pylist()])
+            every = [list(chain.from_iterable([x[1] for x in known])) for known in found]
+            for i, known, ids, text in zip(b.column(0).to_pylist(), found, every, m.library.decode(every, num_threads=1), strict=True):
+                joined = ",".join([x[0] for x in known])
+                rows.append((i, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) + ((ids,) if with_ids else ()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, RESULT + ", ids array<int>" * with_ids)

@@ -136,13 +136,17 @@ ODD = ["", " ", "  a  b ", "x\x1cy z", "İ Σας ΟΔΟΣ", "it's they'll 123 4
 
 def test_sentencepiece(docs, empty):
     m = pieces.model(pieces.default_model())
-    for t in [*ODD, *(x or "" for x in edge_texts())]:
-        known = m.look_up([t])[0]
-        ids = [int(i) for c in known for i in c[0].split(",")]
-        assert ids == m.library.encode(t) and "".join(c[2] for c in known)[1:] == m.library.decode(ids)
+    rng = np.random.default_rng(6)
+    alphabet = [*ODD, "▁", " ", "  ", "\n", ".", ",", "é", "ing", "the", "<0x41>", "\u0301", "\ufffd", "\ud7ff", "\U0001f600", "1", "tion"]
+    mixed = ["".join(rng.choice(alphabet, int(n))) for n in rng.integers(1, 12, 400)]
+    for t in [*ODD, *(x or "" for x in edge_texts()), *mixed]:
+        assert m.encode(t) == m.library.encode(t)
+        assert all(m.merged_short(c) == m.merged_long(c) for c in m.chunks(m.normalized(t)))
     got = {r.doc_id: r for r in pieces.encoded(docs, pieces.default_model()).where("doc_id IS NOT NULL").collect()}
     ids = m.library.encode(edge_texts()[5])
     assert got[5].n_tokens == len(ids) and got[5].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and got[0].n_tokens == 0
+    for i, t in enumerate(edge_texts()):
+        assert got[i].decoded_sha256 == hashlib.sha256(m.library.decode(m.library.encode(t or "")).encode()).hexdigest()
     assert pieces.encoded(empty, pieces.default_model()).count() == 0
 
 
