@@ -402,7 +402,10 @@ def padded(text: bytes, unit: int = 64) -> bytes:
 
 
 def media(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): every text (null: empty), padded to 64 bytes, as a FLAC stream. Other columns go."""
+    """(doc_id, n_bytes, media): every text (null: empty), padded to 64 bytes, as a FLAC stream. Other columns go.
+
+    An empty text is 64 samples. Rows stay, repeated or not, with or without an id; equal texts have equal streams.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def write(it):
@@ -422,7 +425,8 @@ ALSO = {"n_bytes": ("long", pa.int64()), "media_bytes": ("long", pa.int64()), "m
 def pcm_blocks(stored: DataFrame, block: int = 65536, also: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, first_sample, pcm, *also): decoded bytes in blocks of so many samples, each with the offset to seek it by.
 
-    A stream's blocks follow each other in one partition.
+    A stream's blocks follow each other in one partition. Every row has its own blocks, also where ids repeat or are null;
+    a stream without samples has none, and a null one raises ValueError, as a broken one does.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("first_sample", pa.int64()), ("pcm", pa.binary()), *((c, ALSO[c][1]) for c in also)])
 
@@ -430,6 +434,8 @@ def pcm_blocks(stored: DataFrame, block: int = 65536, also: tuple[str, ...] = ()
         for b in batches(it, rows=4000, size=4 << 20):
             rows = []
             more = zip(*(c.to_pylist() for c in b.columns[2:]), strict=True) if also else [()] * b.num_rows
+            if b.column(1).null_count:
+                raise ValueError("a stream is null")
             for i, p, x in zip(b.column(0).to_pylist(), decode(b.column(1).to_pylist()), more, strict=True):
                 p = bytes(p)
                 rows += [(i, j, p[j : j + block], *x) for j in range(0, len(p), block)]
@@ -467,7 +473,10 @@ class _Stream:
 
 
 def features(stored: DataFrame, block: int = 65536) -> DataFrame:
-    """Digests and a short description of each stream, all from the blocks that decoding it gives."""
+    """Digests and a short description of each stream, all from the blocks that decoding it gives.
+
+    A row for every stream with samples, repeated or not; media() makes no other.
+    """
     names = [f.split()[0] for f in FEATURES.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -492,6 +501,9 @@ def features(stored: DataFrame, block: int = 65536) -> DataFrame:
 
 
 def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text as FLAC in a table of the shared folder, which is read back; the features of what was read."""
+    """Every whole text as FLAC in a table of the shared folder, which is read back; the features of what was read.
+
+    A row for each row of documents; null and empty texts are 64 zero bytes.
+    """
     tuned(spark)
     return features(materialize(media(read(spark, sf_dir, "documents")), "media"))

@@ -82,7 +82,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataF
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence notices of every whole text."""
+    """Licence notices of every whole text; null and empty texts have none."""
     return scan(read(spark, sf_dir, "documents"))
 
 

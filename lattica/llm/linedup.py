@@ -82,7 +82,7 @@ def drop_recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, lead: int
 
 
 def op5_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines, dropped lines and digest of what is left of every text."""
+    """Lines, dropped lines and digest of what is left of every text; a null text has no lines, and is empty in the digest."""
     d = drop_recurring_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 

@@ -357,6 +357,6 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate groups of all whole texts."""
+    """Near-duplicate groups of all whole texts: a row for each row of documents; texts without words are alone."""
     tuned(spark)
     return near_duplicates(read(spark, sf_dir, "documents"))

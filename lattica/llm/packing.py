@@ -276,10 +276,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+    """pieces() of docs(doc_id, text), packed by pack(); an empty table gives an empty one. Other columns go."""
     return pack(materialize(pieces(docs, path, capacity), "pieces"), capacity)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in sequences of at most 4096 ids."""
+    """All documents in sequences of at most 4096 ids; a null or empty text is its end id, and repeated rows are packed each."""
     tuned(spark)
     return pack_documents(read(spark, sf_dir, "documents"), default_tokenizer())

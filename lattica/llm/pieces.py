@@ -212,6 +212,6 @@ def encoded(docs: DataFrame, path: str, *, with_ids: bool = False) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text of documents, encoded and decoded with the public merge-type model."""
+    """Every whole text of documents, encoded and decoded with the public merge-type model; null and empty texts have no ids."""
     tuned(spark)
     return encoded(read(spark, sf_dir, "documents"), default_model())

@@ -221,7 +221,10 @@ def top_k_search(queries: DataFrame, vectors: DataFrame, k: int = 20, *, rows: i
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 best rows of each vector whose id is divisible by 20, over all rows of embeddings."""
+    """The 20 best rows of each vector whose id is divisible by 20, over all rows of embeddings.
+
+    Null ids and vectors, and those that hold null or non-finite components, take no part; ties go to smaller ids.
+    """
     v = quantized(read(spark, sf_dir, "embeddings"))
     return top_k_search(v.where(F.col("vec_id") % 20 == 0), v, 20)
 

@@ -363,7 +363,11 @@ def scored(docs: DataFrame, net: Network, score: str = "score", predicted: str =
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents, from a network trained on those that are not held out."""
+    """Scores of all documents, from a network trained on those that are not held out.
+
+    A row for each row of documents; null and empty texts have the score of no words. A null id is not held out. Without
+    labels of both kinds all scores are those of a new network, below one half.
+    """
     tuned(spark)
     docs = read(spark, sf_dir, "documents")
     net = train(docs, read(spark, sf_dir, "labels"))
