@@ -39,38 +39,51 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 @_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network, trained on the labels of those not held out, rejects are dropped."""
+    """Documents that the network, trained on the labels of those not held out, rejects are dropped.
+
+    Null and empty texts have the score of no words, and stay; repeated rows stay or go together. No row, no result.
+    """
     net = train(docs, read(spark, sf_dir, "labels"))
     return scored(docs, net, "_toxicity_score", "_toxicity_predicted").where("_toxicity_predicted = 0").select(*docs.columns)
 
 
 @_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go from all documents but the first, so that copies do not lose their only text."""
+    """Lines of recurring templates go from all documents but the first, so that copies do not lose their only text.
+
+    All rows stay: null texts are null, empty ones empty; repeated rows count as one text. n_chars is counted anew.
+    """
     return _counted(drop_recurring_lines(docs, keep_first=True, counts=None).select(*docs.columns))
 
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id stays."""
+    """Of each group of near duplicates the document with the least doc_id stays.
+
+    Texts that are null or without words, and rows without an id, stay. Rows that share an id stay or go together.
+    """
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 @_stage
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 200 bytes or more that stand twice in the corpus are cut out everywhere."""
+    """Passages of 200 bytes or more that stand twice in the corpus are cut out everywhere.
+
+    All rows stay; null texts are null. Of rows with equal texts of that length nothing is left. n_chars is counted anew.
+    """
     return _counted(cleaned(docs))
 
 
 @_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in sequences of 4096 ids."""
+    """Where each piece of each document lies in sequences of 4096 ids; a null or empty text is one piece of one id."""
     return pack_documents(docs, default_tokenizer())
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("packing", packing)]
-#: A trained network, similarity joins and a bin packing have no SQL; tests hold each stage against brute force.
+#: A trained network, similarity joins and a bin packing have no SQL; tests hold the stages against their operators and those
+#: against brute force.
 ORACLE_SQL = None
 
 
