@@ -50,7 +50,10 @@ def recurring_lines(keyed: DataFrame, min_texts: int = MIN_TEXTS, lead: int = LE
     marked = materialize(marked, "marked-lines")
     often2 = lambda by: often(marked.where(F.col(by).isNotNull()), by).withColumn(f"{by}_often", F.lit(True))
     wholes, fits = materialize(often2("whole"), "wholes"), materialize(often2("fits"), "fits")
-    out = marked.join(fits, "fits", "left").join(wholes, "whole", "left").where("fits_often OR whole_often")
+    # Most lines fit no template: for the join they go by their own name, so that they do not meet in one task.
+    marked = marked.withColumn("by", F.coalesce("fits", "whole")).join(fits.withColumnRenamed("fits", "by"), "by", "left")
+    marked = marked.withColumn("fits_often", F.col("fits_often") & F.col("fits").isNotNull())
+    out = marked.join(wholes, "whole", "left").where("fits_often OR whole_often")
     out = out.select("key", "pos", "doc_id", F.when(F.col("fits_often"), F.col("fits")).otherwise(F.col("whole")).alias("template"))
     if keep_first:
         first = out.groupBy("template").agg(F.min(F.struct("doc_id", "key", "pos")).alias("f")).select("f.key", "f.pos")
