@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,17 +41,24 @@ def dataset(spark: SparkSession, folder: str, names: list[str], per_class: int)
     return out.select((F.col("class") * per_class + place).cast("long").alias("image_id"), "name", "class", "image", "mask", "segmentation")
 
 
-def _byte(data: Column, i: Column) -> Column:
-    return F.conv(F.hex(F.substring(data, i.cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+def decoded_pixels(images: DataFrame) -> DataFrame:
+    """pixels of dataset() images: channels in 0 to 255, blue first; mask 1 where kept, from the mask image's channel 0.
 
+    A grey image has its one channel three times. Images are decoded one at a time; a missing mask keeps all pixels.
+    """
 
-def decoded_pixels(images: DataFrame) -> DataFrame:
-    """pixels of dataset() images: channels in 0 to 255, blue first; mask 1 where kept, from the mask image's channel 0."""
-    n, w = F.col("image.n_channels"), F.col("image.width")
-    p = images.select("*", F.explode(F.sequence(F.lit(0), F.col("image.height") * w - 1)).alias("pix"))
-    m = F.when(F.col("mask").isNull(), 1.0).otherwise(hard_mask(_byte(F.col("mask.data"), F.col("pix") * F.col("mask.n_channels"))))
-    channel = lambda k: _byte(F.col("image.data"), F.col("pix") * n + F.least(F.lit(k), n - 1)).cast("double")
-    return p.select("image_id", F.floor(F.col("pix") / w).cast("int").alias("r"), (F.col("pix") % w).cast("int").alias("c"), F.col("image.height").alias("height"), w.alias("width"), channel(0).alias("b"), channel(1).alias("g"), channel(2).alias("red"), m.alias("mask"))
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in it:
+            for x in d.itertuples(index=False):
+                h, w, n = x.image["height"], x.image["width"], x.image["n_channels"]
+                b = np.frombuffer(x.image["data"], np.uint8).reshape(h * w, n)
+                m = np.zeros(h * w) if x.mask is None else np.frombuffer(x.mask["data"], np.uint8).reshape(h * w, x.mask["n_channels"])[:, 0]
+                at = np.arange(h * w)
+                colours = {c: b[:, min(k, n - 1)].astype(float) for k, c in enumerate(("b", "g", "red"))}
+                yield pd.DataFrame({"image_id": x.image_id, "r": at // w, "c": at % w, "height": h, "width": w, **colours, "m": m.astype(float)})
+
+    out = images.select("image_id", "image", "mask").mapInPandas(run, "image_id long, r int, c int, height int, width int, b double, g double, red double, m double")
+    return out.select("image_id", "r", "c", "height", "width", "b", "g", "red", hard_mask(F.col("m")).alias("mask"))
 
 
 def read_csv(spark: SparkSession, path: str, columns: int) -> DataFrame:
