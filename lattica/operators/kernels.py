@@ -328,13 +328,12 @@ def lle_embedding(samples: DataFrame, k: int = 8, d: int = 2, group: str = "grp"
 
 
 def elementary(x: np.ndarray) -> np.ndarray:
-    """e1 to en by Newton's identities from power sums."""
-    n = len(x)
-    p = [float((x**i).sum()) for i in range(1, n + 1)]
-    e = [1.0]
-    for r in range(1, n + 1):
-        e.append(sum((-1) ** (i + 1) * e[r - i] * p[i - 1] for i in range(1, r + 1)) / r)
-    return np.array(e[1:])
+    """e1 to en: coefficients of the product of (1 + x t), a factor at a time (Newton's identities lose digits as n grows)."""
+    e = np.zeros(len(x) + 1)
+    e[0] = 1.0
+    for k, v in enumerate(x):
+        e[1 : k + 2] += v * e[: k + 1].copy()
+    return e[1:]
 
 
 def pattern_vector(lap: np.ndarray, k: int, size: int) -> np.ndarray:
