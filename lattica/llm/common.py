@@ -74,14 +74,14 @@ def drop(tables: list[tuple[SparkSession, str]]) -> None:
         p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it again: lineage ends there.
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder, with the writer's options, and reads it again: lineage ends there.
 
     Shuffle files of what came before become garbage, and are collected at once.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     schema = df.schema
     del df
     gc.collect()
