@@ -704,7 +704,7 @@ def matrix_without_line(spark, d):
 
 @query(f"WITH {_S}, {_P}, z AS (SELECT i, d FROM p QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 7) SELECT p.i, p.j, round(exp(-p.d * p.d / (a.d * b.d)), 6) AS s FROM p JOIN z a ON a.i = p.i JOIN z b ON b.i = p.j WHERE p.i < p.j")
 def self_tuning_similarity(spark, d):
-    return rounded(N.self_tuning_similarity(vectors(spark, d)), "s")
+    return N.self_tuning_similarity(vectors(spark, d), digits=6)
 
 
 # --- expressions -----------------------------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,26 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/lattica-{name}-{uuid.uuid4().hex}"
+
+
+def opened(path: str):
+    """The file system of a path or URI, and the path in it; whatever pyarrow reaches."""
+    from pyarrow import fs
+
+    if "://" not in path and path.startswith("file:"):
+        path = "file://" + path[5:]
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """df, written as a table in the shared folder and read again, so that it is computed once."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, with its lineage cut by a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
