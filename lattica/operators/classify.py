@@ -14,12 +14,12 @@ from lattica.functions import fuzzy
 from lattica.functions.vectors import euclidean
 from lattica.operators import segments
 from lattica.operators.kernels import palette_projection
-from lattica.operators.neighbours import distances, moments, nearest, squared
+from lattica.operators.neighbours import gaussian, moments, nearest, squared
 
 
-def gaussian_similarity(samples: DataFrame, sigma2: float) -> DataFrame:
-    """sim(i, j, s) for i < j: exp(-d^2 / sigma^2)."""
-    return distances(samples).select("i", "j", F.exp(-F.col("d2") / sigma2).alias("s"))
+def gaussian_similarity(samples: DataFrame, sigma2: float, digits: int | None = None) -> DataFrame:
+    """sim(i, j, s) for i < j: exp(-d^2 / sigma^2), rounded to digits if given."""
+    return gaussian(samples, sigma2, digits)
 
 
 def modulated(sim: DataFrame, labels: DataFrame, same: float = 10.0, other: float = 0.1) -> DataFrame:

@@ -152,7 +152,7 @@ def masked_knn_graph(spark, d):
 
 @query(f"WITH {_SIM} SELECT i, j, round(s, 6) AS s FROM sim WHERE i < j")
 def gaussian_similarity(spark, d):
-    return rounded(C.gaussian_similarity(vectors(spark, d).select("id", "x"), 1.0), "s")
+    return C.gaussian_similarity(vectors(spark, d).select("id", "x"), 1.0, digits=6)
 
 
 @query(f"WITH {_S}, {_P} SELECT i, j, round(exp(-d * d) * CASE WHEN li = lj THEN 10 ELSE 0.1 END, 6) AS s FROM p WHERE i < j")
