@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.vectors import constant_one, gaussian, squared_distance
-from lattica.operators.neighbours import distances
+from lattica.operators.neighbours import distances, pair_values
 from lattica.plans.stored import components, cut
 
 OFFSETS = {4: [(1, 0), (0, 1)], 8: [(1, -1), (1, 0), (1, 1), (0, 1)]}
@@ -96,9 +96,9 @@ def mutual_knn_graph(sim: DataFrame, k: int) -> DataFrame:
     return t.join(back, ["i", "j"], "left_semi").where("i < j").select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("s").alias("w"))
 
 
-def complete_graph(samples: DataFrame, score: Callable[[Column], Column]) -> DataFrame:
-    """An edge for each pair i < j, weighted by a function of its squared distance."""
-    return distances(samples).select(F.col("i").alias("src"), F.col("j").alias("dst"), score(F.col("d2")).alias("w"))
+def complete_graph(samples: DataFrame, score: Callable[[np.ndarray], np.ndarray], digits: int | None = None) -> DataFrame:
+    """An edge for each pair i < j, weighted by a function of arrays of squared distances, rounded to digits if given."""
+    return pair_values(samples, lambda d2, u, v: score(d2), "w", digits=digits).withColumnsRenamed({"i": "src", "j": "dst"})
 
 
 def pixel_knn_graph(pixels: DataFrame, k: int, sigma2: float = 1.0) -> DataFrame:

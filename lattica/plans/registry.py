@@ -6,6 +6,7 @@ segments. Doubles are rounded on both sides. Queries without SQL are held agains
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -139,7 +140,7 @@ def eps_graph(spark, d):
 
 @query(f"WITH {_S}, {_P} SELECT i AS src, j AS dst, round(d, 6) AS w FROM p WHERE i < j")
 def complete_graph(spark, d):
-    return rounded(G.complete_graph(vectors(spark, d).select("id", "x"), F.sqrt), "w")
+    return G.complete_graph(vectors(spark, d).select("id", "x"), np.sqrt, digits=6)
 
 
 @query(f"""WITH {_S}, {_P}, t AS (SELECT i, j, exp(-d * d) AS s, row_number() OVER (PARTITION BY i ORDER BY exp(-d * d) DESC, j) AS n FROM p WHERE li < 5 AND lj < 5)

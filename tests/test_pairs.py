@@ -71,6 +71,14 @@ def test_gaussian_similarity_moves_no_pairs(spark, few, samples):
     pairs_equal(df, ids, np.exp(-d * d), "s")
 
 
+def test_complete_graph_moves_no_pairs(spark, few, samples):
+    ids, d, _ = samples
+    df = R.QUERIES["complete_graph"](spark, few)
+    moves_no_pairs(df)
+    pairs_equal(df, ids, d, "w")
+    assert df.where("w = 0").count() == 3  # of three equal vectors
+
+
 def test_what_is_stored_grows_with_samples(spark, few):
     """Each vector is stored once, whatever the number of blocks, and blocks have a bounded number of rows."""
     s = R.vectors(spark, few).select("id", "x")
