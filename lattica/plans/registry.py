@@ -158,8 +158,7 @@ def gaussian_similarity(spark, d):
 
 @query(f"WITH {_S}, {_P} SELECT i, j, round(exp(-d * d) * CASE WHEN li = lj THEN 10 ELSE 0.1 END, 6) AS s FROM p WHERE i < j")
 def modulated_similarity(spark, d):
-    v = vectors(spark, d)
-    return rounded(C.modulated(C.gaussian_similarity(v.select("id", "x"), 1.0), v), "s")
+    return N.modulated_gaussian(vectors(spark, d), 1.0, digits=6)
 
 
 @query(f"WITH {_S}, {_P} SELECT round(avg(d * d) - avg(d) * avg(d), 6) AS variance, count(*) AS n FROM p WHERE i < j")

@@ -79,6 +79,20 @@ def test_complete_graph_moves_no_pairs(spark, few, samples):
     assert df.where("w = 0").count() == 3  # of three equal vectors
 
 
+def test_modulated_similarity_moves_no_pairs(spark, few, samples):
+    ids, d, label = samples
+    df = R.QUERIES["modulated_similarity"](spark, few)
+    moves_no_pairs(df)
+    pairs_equal(df, ids, np.exp(-d * d) * np.where(label[:, None] == label[None], 10, 0.1), "s")
+
+
+def test_modulated_leaves_unknown_labels(spark):
+    s = spark.createDataFrame([(1, [0.0], 0), (2, [1.0], None), (3, [2.0], -1), (4, [3.0], 0)], "id long, x array<double>, label int")
+    want = R.C.modulated(R.C.gaussian_similarity(s, 1.0), s).collect()
+    got = {(r.i, r.j): r.s for r in N.modulated_gaussian(s, 1.0).collect()}
+    assert len(got) == 6 and all(np.isclose(got[r.i, r.j], r.s, rtol=1e-12) for r in want)
+
+
 def test_what_is_stored_grows_with_samples(spark, few):
     """Each vector is stored once, whatever the number of blocks, and blocks have a bounded number of rows."""
     s = R.vectors(spark, few).select("id", "x")
