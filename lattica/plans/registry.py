@@ -168,7 +168,7 @@ def distance_variance(spark, d):
 
 @query(f"WITH {_SIM} SELECT i, j, round(CASE WHEN sum(s) OVER (PARTITION BY i) < 1e-4 THEN 0 ELSE s / sum(s) OVER (PARTITION BY i) END, 6) AS s FROM sim")
 def row_normalized_similarity(spark, d):
-    return rounded(C.row_normalized(G.all_similarities(vectors(spark, d))), "s")
+    return N.row_normalized_gaussian(vectors(spark, d), 1.0, digits=6)
 
 
 @query("""WITH l AS (SELECT DISTINCT l_orderkey AS o, l_suppkey % 50 AS s FROM lineitem), e AS (SELECT a.s AS src, b.s AS dst, count(*)::DOUBLE AS w FROM l a JOIN l b ON a.o = b.o AND a.s < b.s GROUP BY ALL),

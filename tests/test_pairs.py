@@ -93,6 +93,24 @@ def test_modulated_leaves_unknown_labels(spark):
     assert len(got) == 6 and all(np.isclose(got[r.i, r.j], r.s, rtol=1e-12) for r in want)
 
 
+def test_row_normalized_similarity_moves_no_pairs(spark, few, samples):
+    ids, d, _ = samples
+    df = R.QUERIES["row_normalized_similarity"](spark, few)
+    moves_no_pairs(df)
+    s = np.exp(-d * d)
+    np.fill_diagonal(s, 0)
+    want, at = s / s.sum(axis=1, keepdims=True), {v: k for k, v in enumerate(ids.tolist())}
+    rows = {(r.i, r.j): r.s for r in df.collect()}
+    assert len(rows) == df.count() == len(ids) * (len(ids) - 1)
+    assert all(abs(v - want[at[i], at[j]]) <= 1.1e-6 for (i, j), v in rows.items())
+
+
+def test_row_normalized_far_samples(spark):
+    s = spark.createDataFrame([(1, [0.0]), (2, [0.5]), (3, [9.0])], "id long, x array<double>")
+    want = {(r.i, r.j): r.s for r in R.C.row_normalized(R.G.all_similarities(s)).collect()}
+    assert {(r.i, r.j): r.s for r in N.row_normalized_gaussian(s, 1.0).collect()} == want
+
+
 def test_what_is_stored_grows_with_samples(spark, few):
     """Each vector is stored once, whatever the number of blocks, and blocks have a bounded number of rows."""
     s = R.vectors(spark, few).select("id", "x")
