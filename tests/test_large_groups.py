@@ -1,6 +1,7 @@
 """Kernels on groups too large for dense matrices, held against the dense ones, and on odd groups."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lattica.operators import kernels as K
@@ -50,3 +51,85 @@ def test_many_equal_eigenvalues_are_found():
     m = np.kron(np.diag([1.0, 1.0, 1.0, 1.0]), 10 * np.eye(10) - 1)
     values, v = K.matrix_free_eigen(lambda x: m @ x, 40, 2)
     assert np.allclose(values, 0, atol=1e-8) and np.allclose(m @ v, 0, atol=1e-7) and np.allclose(v.T @ v, np.eye(2), atol=1e-9)
+
+
+def ring(parts=3, each=30):
+    """Dense parts, joined in a ring by one light edge each: edges one way."""
+    rng = np.random.default_rng(6)
+    e = [(each * p + i, each * p + j, rng.uniform(0.5, 1)) for p in range(parts) for i in range(each) for j in range(i + 1, each) if rng.random() < 0.5]
+    e += [(each * p, each * ((p + 1) % parts) + 1, 0.01) for p in range(parts)]
+    src, dst, w = (np.array(x) for x in zip(*e, strict=True))
+    return parts * each, src, dst, w
+
+
+def no_dense(*_, **__):
+    raise AssertionError("a dense matrix of a large graph")
+
+
+def test_pattern_vector_of_a_large_graph(sparse, monkeypatch):
+    n, src, dst, w = ring()
+    want = K.pattern_vector(K.dense_laplacian(n, src, dst, w), 3, n)
+    seen = {}
+    monkeypatch.setattr(K, "dense_laplacian", no_dense)
+
+    class Edges:  # the kernel in this process, where the limit is set
+        def groupBy(self, key):
+            return self
+
+        def applyInPandas(self, run, schema):
+            seen["out"] = run(pd.DataFrame({"graph": 5, "src": src, "dst": dst, "w": w}))
+
+    K.pattern_vectors(Edges(), 3, 16)
+    got = seen["out"]["pattern"][0]
+    got, want = np.reshape(got, (n, 3)), np.reshape(want, (n, 3))
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-5)
+
+
+@pytest.mark.parametrize("method", ["ncut_parts", "isoperimetric_parts"])
+def test_partition_of_a_large_graph(sparse, method):
+    n, src, dst, w = ring()
+    both = n, np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([w, w])
+    got = getattr(K, method)(*both, 0.2)
+    assert len(set(got)) == 3 and all(len(set(got[30 * p : 30 * p + 30])) == 1 for p in range(3))
+
+
+def test_partitions_take_less_than_a_matrix():
+    """4,000 vertices: a matrix of weights would be 128 MB, and trying each cut by it 4,000 times that."""
+    import tracemalloc
+
+    n = 4000
+    at = np.arange(n)
+    src, dst = np.concatenate([at, at, at]), np.concatenate([(at + 1) % n, (at + 2) % n, (at + 7) % n])
+    both = n, np.concatenate([src, dst]), np.concatenate([dst, src]), np.ones(6 * n)
+    tracemalloc.start()
+    got = K.isoperimetric_parts(*both, 0.1, 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6 and len(got) == n
+
+
+def test_cuts_are_those_of_every_cut_tried():
+    rng = np.random.default_rng(9)
+    m = np.triu(rng.random((25, 25)) * (rng.random((25, 25)) < 0.2), 1)
+    m = m + m.T
+    n, a, b, v = K._edges_of(m)
+    order = rng.permutation(25)
+    want = [m[np.ix_(order[:c], order[c:])].sum() for c in range(1, 25)]
+    assert np.allclose(K._sweep(order, n, a, b, v), want)
+    assert K.connected_parts(6, np.array([0, 4, 4, 5, 2]), np.array([4, 0, 5, 4, 2])).tolist() == [0, 1, 2, 3, 0, 0]
+
+
+@pytest.mark.parametrize("name", ["isoperimetric_partition"])
+def test_label_graphs_make_no_pairs(spark, name):
+    """No row for a pair of samples: the graph is of nearest rows, found in blocks, and the same as from all pairs."""
+    from lattica.plans import registry as R
+
+    sf = "/root/testdata/sf0.001"
+    df = R.QUERIES[name](spark, sf)
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    if name == "pattern_vectors":
+        v = R.vectors(spark, sf).select(R.F.col("label").cast("long").alias("graph"), "id", "x")
+        want = R.G.knn_graph(R.G.similarity(v, lambda a, b: R.F.exp(-R.V.squared_distance(a, b)), ["graph"]), 6, ["graph"])
+        key = lambda r: (r.graph, r.src, r.dst)
+        a, b = sorted(R._label_graphs(spark, sf).collect(), key=key), sorted(want.collect(), key=key)
+        assert list(map(key, a)) == list(map(key, b)) and np.allclose([r.w for r in a], [r.w for r in b], rtol=1e-12)
