@@ -119,7 +119,7 @@ def test_cuts_are_those_of_every_cut_tried():
     assert K.connected_parts(6, np.array([0, 4, 4, 5, 2]), np.array([4, 0, 5, 4, 2])).tolist() == [0, 1, 2, 3, 0, 0]
 
 
-@pytest.mark.parametrize("name", ["isoperimetric_partition", "normalized_cuts", "pattern_vectors", "spectral_clusters"])
+@pytest.mark.parametrize("name", ["isoperimetric_partition", "normalized_cuts", "pattern_vectors", "spectral_clusters", "spectral_embedding"])
 def test_label_graphs_make_no_pairs(spark, name):
     """No row for a pair of samples: the graph is of nearest rows, found in blocks, and the same as from all pairs."""
     from lattica.plans import registry as R
