@@ -15,6 +15,7 @@ from lattica.functions.vectors import euclidean
 from lattica.operators import segments
 from lattica.operators.kernels import palette_projection
 from lattica.operators.neighbours import gaussian, moments, nearest, squared
+from lattica.plans.stored import table
 
 
 def gaussian_similarity(samples: DataFrame, sigma2: float, digits: int | None = None) -> DataFrame:
@@ -248,7 +249,7 @@ def pattern_classifier(patterns: list[DataFrame], labels: DataFrame) -> DataFram
     x = first.select(F.col("graph").alias("id"), F.col("pattern").alias("x"))
     for p in rest:
         x = x.join(p.select(F.col("graph").alias("id"), F.col("pattern").alias("more")), "id").select("id", F.concat("x", "more").alias("x"))
-    return leave_one_out(x.join(labels, "id"))
+    return leave_one_out(table(x.join(labels, "id"), "patterns"))  # made once, however often it is read
 
 
 class ModulatedSimilarityClassifier:

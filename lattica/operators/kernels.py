@@ -7,7 +7,7 @@ Bodies follow the published methods.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -376,39 +376,96 @@ def elementary(x: np.ndarray) -> np.ndarray:
 
 
 def pattern_of(values: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Polynomials of eigenvectors scaled by their values' roots, as sign times ln(1 + |s|)."""
-    phi = np.sqrt(np.maximum(values, 0)) * vectors
-    s = np.stack([elementary(phi[:, j]) for j in range(phi.shape[1])], axis=1)
-    return (np.sign(s) * np.log1p(np.abs(s))).ravel()
+    """Polynomials of eigenvectors scaled by their values' roots, as sign times ln(1 + |s|); of one graph, or of each of many."""
+    phi = np.sqrt(np.maximum(values, 0))[..., None, :] * vectors
+    e = np.zeros((*phi.shape[:-2], phi.shape[-2] + 1, phi.shape[-1]))
+    e[..., 0, :] = 1.0
+    for j in range(phi.shape[-2]):  # as elementary()
+        e[..., 1 : j + 2, :] += phi[..., j, None, :] * e[..., : j + 1, :].copy()
+    s = e[..., 1:, :]
+    return (np.sign(s) * np.log1p(np.abs(s))).reshape(*phi.shape[:-2], -1)
+
+
+def small_patterns(laps: np.ndarray, k: int, size: int) -> np.ndarray:
+    """pattern_vector() of each of many graphs with as many vertices."""
+    n = laps.shape[1]
+    if n - 1 < k:
+        raise ValueError("a graph has fewer vertices than the pattern needs")
+    m = np.zeros((len(laps), size, size))
+    m[:, :n, :n] = laps
+    values, vectors = np.linalg.eigh(m)
+    at = slice(size - n + 1, size - n + 1 + k)
+    order = np.argsort(values, axis=1)[:, at]
+    values, vectors = np.take_along_axis(values, order, 1), np.take_along_axis(vectors, order[:, None, :], 2)
+    top = np.take_along_axis(vectors, np.abs(np.round(vectors, 9)).argmax(axis=1)[:, None, :], 1)
+    return pattern_of(values, vectors * np.where(top == 0, 1, np.sign(top)))
 
 
 def pattern_vector(lap: np.ndarray, k: int, size: int) -> np.ndarray:
     """A graph's pattern: of k eigenpairs after the padding's zero ones and the constant one, polynomials of the scaled
     vectors, as sign times ln(1 + |s|)."""
-    n = len(lap)
-    if n - 1 < k:
-        raise ValueError("a graph has fewer vertices than the pattern needs")
-    m = np.zeros((size, size))
-    m[:n, :n] = lap
-    values, vectors = symmetric_eigen(m, size)
-    at = slice(size - n + 1, size - n + 1 + k)
-    return pattern_of(values[at], vectors[:, at])
+    return small_patterns(lap[None], k, size)[0]
+
+
+def patterns_of(d: pd.DataFrame, k: int, size: int, keys: str) -> pd.DataFrame:
+    """The patterns of whole graphs, whose edges stand together; small graphs are worked on many at a time."""
+    graphs, n = d[keys].to_numpy(), len(d)
+    first = np.flatnonzero(np.r_[True, graphs[1:] != graphs[:-1]])
+    own = np.repeat(np.arange(len(first)), np.diff(np.r_[first, n]))
+    # Vertices are numbered in rising order within their graph.
+    at, v = np.concatenate([own, own]), np.concatenate([d["src"], d["dst"]])
+    order = np.lexsort([v, at])
+    new = np.r_[True, (at[order][1:] != at[order][:-1]) | (v[order][1:] != v[order][:-1])]
+    start = np.r_[True, at[order][1:] != at[order][:-1]]
+    number = np.cumsum(new) - 1
+    place = np.empty(2 * n, int)
+    place[order] = number - np.repeat(number[start], np.diff(np.r_[np.flatnonzero(start), 2 * n]))
+    src, dst, w = place[:n], place[n:], d["w"].to_numpy(float)
+    vertices, out = np.bincount(at[order][new], minlength=len(first)), [None] * len(first)
+    for m in np.unique(vertices).tolist():
+        alike, most = np.flatnonzero(vertices == m), max(size, m)
+        if m > max(size, DENSE):  # no padding, and only the eigenpairs that count
+            for g in alike.tolist():
+                e = own == g
+                values, vectors = matrix_free_eigen(sparse_laplacian(m, src[e], dst[e], w[e]), m, k + 1)
+                out[g] = pattern_of(values[1:], vectors[:, 1:])
+            continue
+        step = max(1, (1 << 20) // most**2)
+        for some in (alike[i : i + step] for i in range(0, len(alike), step)):
+            which = np.full(len(first), -1)
+            which[some] = np.arange(len(some))
+            e = which[own] >= 0
+            a = np.zeros((len(some), m, m))
+            np.add.at(a, (which[own[e]], src[e], dst[e]), w[e])
+            np.add.at(a, (which[own[e]], dst[e], src[e]), w[e])
+            lap = -a
+            lap[:, np.arange(m), np.arange(m)] += a.sum(axis=2)
+            for g, pattern in zip(some.tolist(), small_patterns(lap, k, most), strict=True):
+                out[g] = pattern
+    return pd.DataFrame({keys: graphs[first], "pattern": out})
 
 
 def pattern_vectors(edges: DataFrame, k: int, size: int, keys: str = "graph") -> DataFrame:
     """(graph, pattern) of each graph; element i * k + j is polynomial i of eigenvector j."""
 
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        names, at = np.unique(np.concatenate([d["src"], d["dst"]]), return_inverse=True)
-        given = len(names), at[: len(d)], at[len(d) :], d["w"].to_numpy(float)
-        if len(names) <= max(size, DENSE):
-            pattern = pattern_vector(dense_laplacian(*given), k, max(size, len(names)))
-        else:  # no padding, and only the eigenpairs that count
-            values, vectors = matrix_free_eigen(sparse_laplacian(*given), len(names), k + 1)
-            pattern = pattern_of(values[1:], vectors[:, 1:])
-        return pd.DataFrame({keys: [d[keys].iloc[0]], "pattern": [pattern]})
-
-    return edges.groupBy(keys).applyInPandas(run, f"{keys} long, pattern array<double>")
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the edges of the last graph, which may go on
+        for d in it:
+            if not len(d):
+                continue
+            whole = int((d[keys] != d[keys].iloc[-1]).sum())
+            if held and (whole or held[-1][keys].iloc[-1] != d[keys].iloc[0]):
+                done = pd.concat([*held, d.iloc[:whole]], ignore_index=True)
+                held = []
+                yield patterns_of(done, k, size, keys)
+            elif whole:
+                yield patterns_of(d.iloc[:whole].reset_index(drop=True), k, size, keys)
+            held.append(d.iloc[whole:])
+        if held:
+            yield patterns_of(pd.concat(held, ignore_index=True), k, size, keys)
+
+    dealt = edges.select(keys, "src", "dst", F.col("w").cast("double").alias("w")).repartition(keys).sortWithinPartitions(keys)
+    return dealt.mapInPandas(run, f"{keys} long, pattern array<double>")
 
 
 def _within(part: np.ndarray, n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

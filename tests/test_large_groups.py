@@ -69,18 +69,8 @@ def no_dense(*_, **__):
 def test_pattern_vector_of_a_large_graph(sparse, monkeypatch):
     n, src, dst, w = ring()
     want = K.pattern_vector(K.dense_laplacian(n, src, dst, w), 3, n)
-    seen = {}
     monkeypatch.setattr(K, "dense_laplacian", no_dense)
-
-    class Edges:  # the kernel in this process, where the limit is set
-        def groupBy(self, key):
-            return self
-
-        def applyInPandas(self, run, schema):
-            seen["out"] = run(pd.DataFrame({"graph": 5, "src": src, "dst": dst, "w": w}))
-
-    K.pattern_vectors(Edges(), 3, 16)
-    got = seen["out"]["pattern"][0]
+    got = K.patterns_of(pd.DataFrame({"graph": 5, "src": src, "dst": dst, "w": w}), 3, 16, "graph")["pattern"][0]
     got, want = np.reshape(got, (n, 3)), np.reshape(want, (n, 3))
     assert np.allclose(np.abs(got), np.abs(want), atol=1e-5)
 
@@ -133,3 +123,36 @@ def test_label_graphs_make_no_pairs(spark, name):
         key = lambda r: (r.graph, r.src, r.dst)
         a, b = sorted(R._label_graphs(spark, sf).collect(), key=key), sorted(want.collect(), key=key)
         assert list(map(key, a)) == list(map(key, b)) and np.allclose([r.w for r in a], [r.w for r in b], rtol=1e-12)
+
+
+def test_patterns_of_many_graphs(spark):
+    """Graphs of several sizes, cut anywhere into batches, have the patterns that each has alone; small ones go together."""
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for g in range(60):
+        n = int(rng.integers(4, 9))
+        e = [(i, j, float(rng.random())) for i in range(n) for j in range(i + 1, n) if j == i + 1 or rng.random() < 0.4]
+        rows += [(g, 7 * i + g, 7 * j + g, x) for i, j, x in e]
+        src, dst, w = (np.array(x) for x in zip(*e, strict=True))
+        values, vectors = K.symmetric_eigen(np.pad(K.dense_laplacian(n, src, dst, w), (0, 8 - n)), 8)
+        phi = np.sqrt(np.maximum(values[8 - n + 1 : 8 - n + 3], 0)) * vectors[:, 8 - n + 1 : 8 - n + 3]
+        s = np.stack([K.elementary(phi[:, j]) for j in range(2)], axis=1)
+        want[g] = (np.sign(s) * np.log1p(np.abs(s))).ravel()
+    df = spark.createDataFrame(rows, "graph long, src long, dst long, w double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = {r.graph: r.pattern for r in K.pattern_vectors(df, 2, 8).collect()}
+        assert set(got) == set(want) and all(np.allclose(got[g], want[g], atol=1e-9) for g in want)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_pattern_classifier_moves_no_pairs_and_makes_patterns_once(spark, tmp_path):
+    """However many blocks there are, patterns are not shuffled for a pair of them, and their table is made once."""
+    from lattica.plans import registry as R
+
+    spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 60").write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = R.QUERIES["pattern_classifier"](spark, str(tmp_path))
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" not in text and "Window" not in text and "BatchScan" not in text and "embeddings.parquet" not in text
+    assert sorted(r.id for r in df.collect()) == list(range(60))
