@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from bisect import bisect_left, insort
@@ -31,11 +32,18 @@ def default_tokenizer() -> str:
 SPACES = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
+#: Letters that stay one character each when normalized; and a word of them with marks that the pattern takes by themselves.
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+ALONE = re.compile(f"[{LETTERS}]+").fullmatch
+MARKED = re.compile(f"([{LETTERS}]++)([!\"#$%&()*+,./:;=?@^_`{{}}~\\[\\]\\\\-]+)").fullmatch
+
+
 class Words:
     """A tokenizer whose pattern never crosses white space: texts are cut there, and chunks are encoded once.
 
     Chunks go to the tokenizer as they are, so that normalizing and matching added tokens are its own work. Only runs of
-    ASCII letters, which nothing but lower-casing changes, are put together in one text, or split from a mark after them.
+    letters up to U+00FF, which nothing but lower-casing changes, are put together in one text, or split from ASCII marks
+    after them (but for those that an added token or a contraction may begin or end with).
     """
 
     def __init__(self, path: str) -> None:
@@ -56,8 +64,8 @@ class Words:
         self.old: dict[str, bytes] = {}
 
     def learn(self, chunks: list[str]) -> None:
-        # ASCII letters alone are one word to the pattern, and its last id ends a word: many go through in one text.
-        alone = [c for c in chunks if c.isascii() and c.isalpha()]
+        # Letters alone are one word to the pattern, and only its last id ends a word: many go through in one text.
+        alone = [c for c in chunks if ALONE(c)]
         if alone:
             for i in range(0, len(alone), 400):
                 part = alone[i : i + 400]
@@ -70,7 +78,7 @@ class Words:
                 for c, e in zip(part, (4 * ends).tolist(), strict=True):
                     self.young[c] = raw[at:e]
                     at = e
-        self._one_by_one([c for c in chunks if not (c.isascii() and c.isalpha())])
+        self._one_by_one([c for c in chunks if not ALONE(c)])
 
     def _one_by_one(self, chunks: list[str]) -> None:
         for i in range(0, len(chunks), 2000):
@@ -97,14 +105,16 @@ class Words:
                     young[c] = known
                 else:
                     missing.append(c)
-        # ASCII letters with one of these marks after them are the word and the mark, each known or learnt by itself.
+        # A word with marks after it is the word and the marks, each known or learnt by itself.
         rest, later = [], []
         for c in missing:
-            (later if len(c) > 1 and c[-1] in ".,;:" and c.isascii() and c[:-1].isalpha() else rest).append(c)
-        words = {c[:-1] for c in later} | {c[-1] for c in later}
-        self.learn(list({c for c in words if c not in young} | set(rest)))
-        for c in later:
-            young[c] = young[c[:-1]] + young[c[-1]]
+            if not c[-1].isalpha() and (parts := MARKED(c)):
+                later.append((c, *parts.groups()))
+            else:
+                rest.append(c)
+        self.learn(list({c for _, *parts in later for c in parts if c not in young} | set(rest)))
+        for c, word, marks in later:
+            young[c] = young[word] + young[marks]
         get = young.__getitem__
         return [b"".join(map(get, cs)) for cs in cut]
 
