@@ -99,12 +99,11 @@ class Words:
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
         young, old, missing = self.young, self.old, []
-        for c in {c for cs in cut for c in cs}:
-            if c not in young:
-                if (known := old.get(c)) is not None:
-                    young[c] = known
-                else:
-                    missing.append(c)
+        for c in set().union(*cut).difference(young):
+            if (known := old.get(c)) is not None:
+                young[c] = known
+            else:
+                missing.append(c)
         # A word with marks after it is the word and the marks, each known or learnt by itself.
         rest, later = [], []
         for c in missing:
