@@ -24,6 +24,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_lines_key", F.xxhash64("doc_id", "text")).withColumn("_lines_same", F.xxhash64("text", F.length("text")))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df in an eighth of the shuffle partitions, or 24: for each file an executor starts processes that set its mode, and a
+    process that has just been started is counted with all the executor's memory."""
+    return df.coalesce(max(24, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def recurring_lines(keyed: DataFrame, min_texts: int = MIN_TEXTS, lead: int = LEAD, *, keep_first: bool = False) -> DataFrame:
     """(key, pos): the lines of keyed(docs) whose template recurs in at least min_texts texts that differ.
 
@@ -37,19 +43,19 @@ def recurring_lines(keyed: DataFrame, min_texts: int = MIN_TEXTS, lead: int = LE
     lines = lines.where(F.col("line").rlike(r"[^ \t\r]")).withColumn("t", F.split(_masked(F.col("line")), _SPACE))
     lines = lines.select("key", "doc_id", "same", "pos", "t", F.xxhash64(F.size("t"), F.slice("t", 1, lead)).alias("leaf"), F.xxhash64(F.concat_ws(" ", "t"), F.lit(1)).alias("whole"))
     often = lambda rows, by: rows.select(by, "same").distinct().groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select(by)
-    leaves = materialize(often(lines, "leaf"), "leaves")
+    leaves = materialize(_few(often(lines, "leaf")), "leaves")
     # Texts are read again rather than moved: only lines of the leaves that are left are written.
     tokens = materialize(lines.join(leaves, "leaf"), "live-lines")
     each = tokens.select("leaf", "key", "pos", F.size("t").alias("n"), F.posexplode("t").alias("place", "token"))
     votes = each.groupBy("leaf", "n", "place", "token").agg(F.count("*").alias("c"))
     modes = votes.groupBy("leaf", "n", "place").agg(F.max(F.struct("c", "token")).alias("m"), F.sum("c").alias("all")).where((2 * F.col("m.c") >= F.col("all")) & (F.col("m.token") != WILD)).select("leaf", "n", "place", F.col("m.token").alias("token"))
     per_leaf = modes.groupBy("leaf", "n").agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("constants")).where(2 * F.size("constants") >= F.col("n"))
-    templates = materialize(per_leaf.select("leaf", "constants"), "templates")  # one row for a leaf, as long as its lines
+    templates = materialize(_few(per_leaf.select("leaf", "constants")), "templates")  # one row for a leaf, as long as its lines
     hits = F.aggregate(F.map_entries("constants"), F.lit(0), lambda a, e: a + F.when(F.element_at("t", e["key"] + 1) == e["value"], 1).otherwise(0))
     marked = tokens.join(templates, "leaf", "left").select("key", "doc_id", "same", "pos", "whole", F.when(10 * hits >= 8 * F.size("constants"), F.col("leaf")).alias("fits"))
-    marked = materialize(marked, "marked-lines")
+    marked = materialize(_few(marked), "marked-lines")
     often2 = lambda by: often(marked.where(F.col(by).isNotNull()), by).withColumn(f"{by}_often", F.lit(True))
-    wholes, fits = materialize(often2("whole"), "wholes"), materialize(often2("fits"), "fits")
+    wholes, fits = materialize(_few(often2("whole")), "wholes"), materialize(_few(often2("fits")), "fits")
     # Most lines fit no template: for the join they go by their own name, so that they do not meet in one task.
     marked = marked.withColumn("by", F.coalesce("fits", "whole")).join(fits.withColumnRenamed("fits", "by"), "by", "left")
     marked = marked.withColumn("fits_often", F.col("fits_often") & F.col("fits").isNotNull())
@@ -57,7 +63,7 @@ def recurring_lines(keyed: DataFrame, min_texts: int = MIN_TEXTS, lead: int = LE
     out = out.select("key", "pos", "doc_id", F.when(F.col("fits_often"), F.col("fits")).otherwise(F.col("whole")).alias("template"))
     if keep_first:
         first = out.groupBy("template").agg(F.min(F.struct("doc_id", "key", "pos")).alias("f")).select("f.key", "f.pos")
-        out = out.join(materialize(first, "first-lines"), ["key", "pos"], "left_anti")
+        out = out.join(materialize(_few(first), "first-lines"), ["key", "pos"], "left_anti")
     return out.select("key", "pos")
 
 
@@ -72,7 +78,7 @@ def drop_recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, lead: int
     keyed = _keyed(docs)
     own = keyed.select(F.col("_lines_key").alias("key"), F.col("_lines_same").alias("same"), "doc_id", "text")
     gone = recurring_lines(own, min_texts, lead, keep_first=keep_first)
-    gone = materialize(gone.groupBy("key").agg(F.collect_set("pos").alias("gone")), "dropped-lines").toDF("_lines_key", "_lines_gone")
+    gone = materialize(_few(gone.groupBy("key").agg(F.collect_set("pos").alias("gone"))), "dropped-lines").toDF("_lines_key", "_lines_gone")
     # Lines to drop grow with the corpus, so texts are sorted towards them at every size.
     d = keyed.join(gone.hint("merge"), "_lines_key", "left").withColumn("_lines_all", F.split("text", "\n", -1))
     lines = F.col("_lines_all")
@@ -87,7 +93,7 @@ def drop_recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, lead: int
 def op5_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, dropped lines and digest of what is left of every text; a null text has no lines, and is empty in the digest."""
     d = drop_recurring_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return _few(d.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")))
 
 
 ORACLE = r"""
