@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -38,6 +39,21 @@ ALONE = re.compile(f"[{LETTERS}]+").fullmatch
 MARKED = re.compile(f"([{LETTERS}]++)([!\"#$%&()*+,./:;=?@^_`{{}}~\\[\\]\\\\-]+)").fullmatch
 
 
+class Known(dict):
+    """Chunks' ids. One that is not known, nor was in the generation before, is noted as missing, with a place for its ids."""
+
+    def __init__(self, old: dict[str, bytes]) -> None:
+        self.old, self.missing = old, {}
+
+    def __missing__(self, chunk: str) -> bytes | bytearray:
+        if (known := self.missing.get(chunk)) is None:
+            if (known := self.old.get(chunk)) is None:
+                known = self.missing[chunk] = bytearray()
+            else:
+                self[chunk] = known
+        return known
+
+
 class Words:
     """A tokenizer whose pattern never crosses white space: texts are cut there, and chunks are encoded once.
 
@@ -60,25 +76,25 @@ class Words:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def learn(self, chunks: list[str]) -> None:
-        # Letters alone are one word to the pattern, and only its last id ends a word: many go through in one text.
-        alone = [c for c in chunks if ALONE(c)]
-        if alone:
-            for i in range(0, len(alone), 400):
-                part = alone[i : i + 400]
-                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-                ends = np.flatnonzero(self.last[ids]) + 1
-                if len(ends) != len(part):
-                    self._one_by_one(part)
-                    continue
-                raw, at = ids.tobytes(), 0
-                for c, e in zip(part, (4 * ends).tolist(), strict=True):
-                    self.young[c] = raw[at:e]
-                    at = e
-        self._one_by_one([c for c in chunks if not ALONE(c)])
+        self.young = Known({})
+        # Whether the tokenizer itself lower-cases the letters that are put together, one by one.
+        capitals = [chr(c) for c in range(256) if ALONE(chr(c)) and chr(c) != chr(c).lower()]
+        encode = lambda texts: [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.folds = encode([f"a{c}{c}a {c}" for c in capitals]) == encode([f"a{c}{c}a {c}".lower() for c in capitals])
+
+    def learn(self, alone: list[str]) -> None:
+        """Words of LETTERS alone are one word to the pattern, and only its last id ends a word: many go through in one text."""
+        for i in range(0, len(alone), 400):
+            part = alone[i : i + 400]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                self._one_by_one(part)
+                continue
+            raw, at = ids.tobytes(), 0
+            for c, e in zip(part, (4 * ends).tolist(), strict=True):
+                self.young[c] = raw[at:e]
+                at = e
 
     def _one_by_one(self, chunks: list[str]) -> None:
         for i in range(0, len(chunks), 2000):
@@ -94,28 +110,52 @@ class Words:
         return text.split()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
-        cut = [self.chunks(t) for t in texts]
+        """Each text's ids as little-endian unsigned 32-bit numbers. The garbage collector, which would go through all that is
+        known again and again, rests meanwhile: no cycles are made."""
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._ids(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        young, old, missing = self.young, self.old, []
-        for c in set().union(*cut).difference(young):
-            if (known := old.get(c)) is not None:
-                young[c] = known
-            else:
-                missing.append(c)
-        # A word with marks after it is the word and the marks, each known or learnt by itself.
-        rest, later = [], []
+            self.young.old = {}
+            self.young = Known(self.young)
+        young = self.young
+        young.missing = missing = {}
+        # One look-up a chunk: what is missing has its place in the texts before its ids are learnt.
+        found = [list(map(young.__getitem__, self.chunks(t))) for t in texts]
+        # A word with marks after it is the word in small letters and the marks, each known or learnt by itself.
+        alone, rest, marked = set(), set(), []
+        fold = str.lower if self.folds else str
         for c in missing:
-            if not c[-1].isalpha() and (parts := MARKED(c)):
-                later.append((c, *parts.groups()))
+            if c.isalpha():
+                if not (c.isascii() or ALONE(c)):
+                    rest.add(c)
+                elif (word := fold(c)) == c:
+                    alone.add(c)
+                else:
+                    marked.append((c, word, ""))
+            elif parts := MARKED(c):
+                word, marks = parts.groups()
+                marked.append((c, fold(word), marks))
             else:
-                rest.append(c)
-        self.learn(list({c for _, *parts in later for c in parts if c not in young} | set(rest)))
-        for c, word, marks in later:
+                rest.add(c)
+        for _, word, marks in marked:
+            if word not in young and young.old.get(word) is None:
+                alone.add(word)
+            if marks not in young and young.old.get(marks) is None:
+                rest.add(marks)
+        self.learn(list(alone))
+        self._one_by_one(list(rest))
+        for c, word, marks in marked:
             young[c] = young[word] + young[marks]
-        get = young.__getitem__
-        return [b"".join(map(get, cs)) for cs in cut]
+        for c, place in missing.items():
+            place += young[c]
+        return [b"".join(f) for f in found]
 
 
 _words: dict[str, Words] = {}
