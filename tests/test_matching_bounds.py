@@ -18,11 +18,11 @@ def test_bounds_are_above_every_value():
     assert (bounds[np.minimum(far, C.BOUND_STEPS).astype(int)] >= C.match_values(*x.T)).all() and (np.diff(bounds) <= 0).all()
 
 
-@pytest.mark.parametrize("places", [3, 40])
-def test_most_similar_of_images_with_ties_and_few_segments(spark, places):
+@pytest.mark.parametrize(("places", "start"), [(3, 0), (40, 0), (40, 900)])
+def test_most_similar_of_images_with_ties_and_few_segments(spark, places, start):
     """Against all pairs matched: images of 0 to 5 segments, many of them equal, and others of one segment."""
     rng = np.random.default_rng(places)
-    rows = [(int(i), k, float(rng.integers(1, 9)), bool(rng.random() < 0.2), (rng.integers(0, places, 3) / places).tolist(), (rng.integers(0, places, 2) / places).tolist()) for i in rng.permutation(70) * 3 for k in range(rng.integers(1, 6))]
+    rows = [(int(i), k, float(rng.integers(1, 9)), bool(rng.random() < 0.2), (start + rng.integers(0, places, 3) / places).tolist(), (rng.integers(0, places, 2) / places).tolist()) for i in rng.permutation(70) * 3 for k in range(rng.integers(1, 6))]
     rows += [(900 + i, k, a, g, c, p) for i, k, a, g, c, p in rows if i < 60]  # copies
     seg = spark.createDataFrame(rows, "image_id long, seg_idx int, area double, is_background boolean, color array<double>, center array<double>").cache()
     ids = seg.select("image_id").distinct()
