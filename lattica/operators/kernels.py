@@ -214,14 +214,15 @@ def matrix_free_eigen(times: Callable[[np.ndarray], np.ndarray], n: int, k: int,
     """The k smallest eigenpairs of a symmetric operator given by its product with a vector; no matrix of n rows is made.
 
     Block Lanczos with full orthogonalisation, k vectors at a time, so that values which occur up to k times are all found;
-    it ends when the residuals are below the tolerance (of the largest value) or the whole space has been seen.
+    it ends when the residuals are below the tolerance (of the largest value) or the whole space has been seen. A product
+    has a part along its own block and the one before only, so that all others are gone through once, for what rounding adds.
     """
     rng = np.random.default_rng(seed)
     k = min(k, n)
     room = min(n, 32 * k)
     basis, h = np.zeros((n, room), order="F"), np.zeros((room, room))
     each = lambda b: np.stack([times(v) for v in b.T], axis=1)
-    block, m, due = np.linalg.qr(rng.standard_normal((n, k)))[0], 0, 0
+    block, m, due, near = np.linalg.qr(rng.standard_normal((n, k)))[0], 0, 0, 0
     while True:
         new = slice(m, m + block.shape[1])
         if new.stop > room:
@@ -229,8 +230,9 @@ def matrix_free_eigen(times: Callable[[np.ndarray], np.ndarray], n: int, k: int,
             basis, h = np.asfortranarray(np.pad(basis, ((0, 0), (0, room - basis.shape[1])))), np.pad(h, (0, room - len(h)))
         basis[:, new], m = block, new.stop
         block = each(block)
-        h[:m, new] = basis[:, :m].T @ block
-        h[new, :m] = h[:m, new].T
+        last, near = slice(near, m), new.start
+        h[last, new] = basis[:, last].T @ block
+        h[new, last] = h[last, new].T
         if m == n or m > 2 * k and m >= due:
             due = 1.25 * m  # the small problem is solved again when it has grown
             values, y = np.linalg.eigh(h[:m, :m])
@@ -239,12 +241,17 @@ def matrix_free_eigen(times: Callable[[np.ndarray], np.ndarray], n: int, k: int,
             if m == n or (gap <= tolerance * max(1.0, float(np.abs(values).max()))).all():
                 return values[:k], signed(vectors)
         size = np.linalg.norm(block, axis=0)
-        block = (block - basis[:, :m] @ h[:m, new])[:, : n - m]
+        block = (block - basis[:, last] @ h[last, new])[:, : n - m]
         # What the basis holds already gives way to something new.
         lost = np.linalg.norm(block, axis=0) <= 1e-10 * np.maximum(size[: block.shape[1]], 1e-300)
         block[:, lost] = rng.standard_normal((n, int(lost.sum())))
-        for _ in range(2):
-            block = np.linalg.qr(block - basis[:, :m] @ (basis[:, :m].T @ block))[0]
+        again = True
+        while again:
+            had = np.linalg.norm(block, axis=0)
+            block = block - basis[:, :m] @ (basis[:, :m].T @ block)
+            again = bool((np.linalg.norm(block, axis=0) < 0.5 * had).any())  # what is left may be rounding for the most part
+            block, r = np.linalg.qr(block)
+            again |= bool((np.abs(np.diag(r)) < 1e-3 * had).any())
 
 
 def sparse_laplacian(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, *, normalized: bool = False) -> Callable[[np.ndarray], np.ndarray]:
